@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnsight.llm import decontaminate, quality, simhash
+from tarnsight.llm import dac, decontaminate, mixing, quality, simhash
 from tarnsight.runtime import staged
 
 
@@ -23,10 +23,22 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The balanced sample that brings the sources to their target shares."""
+    return mixing.take(docs)
+
+
+def token_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token ids as directly addressable codes."""
+    return dac.encode(docs)
+
+
 STAGES = [
     ("quality rules", good_documents),
     ("simhash near-dedup", distinct_documents),
     ("benchmark decontamination", clean_documents),
+    ("mixing sources", mixed_documents),
+    ("token codes", token_codes),
 ]
 
 #: Trained trees, fingerprints and suffix arrays are beyond SQL; tests/llm checks each stage against a brute-force version.
