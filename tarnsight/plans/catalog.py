@@ -5,20 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "lang_source_profile"
+FLAGSHIP = "wer_conversation_turns"
 
 
-def query(name: str, sql: str | None = None):
-    """Register a (spark, sf_dir) function under a name, with its oracle where SQL can express it."""
+def query(sql: str | None = None):
+    """Register a (spark, sf_dir) function under its name, with its oracle where SQL can express it."""
 
     def add(f):
-        QUERIES[name] = f
+        QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[f.__name__] = sql
         return f
 
     return add
@@ -28,6 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("lang_source_profile", "select lang, source, count(*) as n_docs, sum(n_chars) as n_chars from documents group by lang, source")
-def lang_source_profile(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+from . import queries_keyword, queries_rank, queries_text  # noqa: E402, F401
