@@ -20,7 +20,7 @@ from . import textvec as tv
 U = np.uint64
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 1 << 20
+CACHE = 1 << 19
 _SPACE, _LETTER, _DIGIT, _OTHER, _UNSURE = range(5)
 _WHITE = {9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
 _RAW = tv._VALUES.copy()
@@ -52,6 +52,7 @@ def read_vocabulary(path: str) -> bytes:
 def engine(vocabulary: bytes) -> "Engine":
     key = hash(vocabulary)
     if key not in _ENGINES:
+        _ENGINES.clear()  # a worker that goes on to another vocabulary is done with the last
         _ENGINES[key] = Engine(vocabulary)
     return _ENGINES[key]
 
@@ -185,7 +186,7 @@ def encode_column(column: pa.Array, vocabulary: bytes) -> tuple[np.ndarray, np.n
     """(ids, offsets) of a string column; null is like empty."""
     e = engine(vocabulary)
     ids, offs, total = [], [np.zeros(1, np.int64)], 0
-    for _, buf, off in tv.pieces(column, 2 << 20):
+    for _, buf, off in tv.pieces(column, 1 << 20):
         i, o = e.encode(buf, off)
         ids.append(i)
         offs.append(o[1:] + total)

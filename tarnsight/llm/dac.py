@@ -109,7 +109,7 @@ def encode(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, widths: tuple[int,
             doc, text = b.column("doc_id"), b.column("text")
             valid = ~text.is_null().to_numpy(zero_copy_only=False)
             done = 0
-            for first, buf, off in tv.pieces(text, 2 << 20):
+            for first, buf, off in tv.pieces(text, 1 << 20):
                 n = len(off) - 1
                 ids, at = bpe.engine(sent.value).encode(buf, off)
                 count, real = np.diff(at), valid[first : first + n]

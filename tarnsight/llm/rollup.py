@@ -42,7 +42,7 @@ def count_tokens(docs: DataFrame, column: str = "text", vocabulary: str = bpe.VO
 
     def run(batches):
         for b in batches:
-            for first, buf, off in tv.pieces(b.column("text"), 2 << 20):
+            for first, buf, off in tv.pieces(b.column("text"), 1 << 20):
                 _, at = bpe.engine(sent.value).encode(buf, off)
                 n = len(off) - 1
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(first, n) for c in ("doc_id", "source", "lang")), pa.array(np.diff(at))], ["doc_id", "source", "lang", "n_tokens"])
