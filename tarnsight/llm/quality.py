@@ -136,7 +136,7 @@ class Forest:
         return 1 / (1 + np.exp(-self.margin(x)))
 
 
-def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, ridge: float = 2.0, least: float = 4.0) -> Forest:
+def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, ridge: float = 2.0, least: float = 1.0) -> Forest:
     """Boosted trees on the logistic loss; y in [0, 1]. `least` is the smallest hessian of a child."""
     weight = np.ones(len(y)) if weight is None else weight
     prior = (weight @ y) / max(weight.sum(), 1e-12) if len(y) else 1.0
