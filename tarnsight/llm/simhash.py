@@ -32,7 +32,7 @@ U = np.uint64
 BITS = 128
 RADIUS = 24
 RECALL = 0.92
-BUCKET = 48
+BUCKET = 512
 OVERSIZED = 4096
 
 
@@ -116,7 +116,7 @@ def bucket_edges(ids: np.ndarray, fp: np.ndarray, radius: int, used: np.ndarray,
         if len(left) > OVERSIZED and spent > limit and depth < 4:
             # The rest has no dense part left: divide it by additional bits. Those taken out before have met everything in `left`.
             free = np.setdiff1d(np.arange(BITS), used)
-            bits = min(len(free), math.ceil(math.log2(len(left) / BUCKET)))
+            bits = min(len(free), max(1, math.ceil(math.log2(len(left) / BUCKET))))
             r = min(radius, len(free) - 1)
             hit = math.prod(max(1, len(free) - r - i) / (len(free) - i) for i in range(bits))
             for where in _coordinates(7919 * (depth + 1), math.ceil(math.log(0.01) / math.log(1 - min(hit, 1 - 1e-9))), bits, free):
