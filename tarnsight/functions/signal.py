@@ -27,23 +27,18 @@ def si_sdr(reference: Column, estimate: Column, task: str = "se") -> Column:
     se: a silent reference raises, a perfect estimate is 100. tse: silent is 0, perfect is +inf, no trace of the target -inf.
     """
     n = F.least(F.size(reference), F.size(estimate))
-
-    def centred(x: Column) -> Column:
-        x = F.transform(F.slice(x, F.lit(1), n), lambda v: v.cast("double"))
-        mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
-        return F.transform(x, lambda v: v - mean)
-
-    r, e = centred(reference), centred(estimate)
-    power = _dot(r, r)
-    scale = _dot(e, r) / power
-    target = F.transform(r, lambda v: v * scale)
-    noise = F.zip_with(e, target, lambda x, y: x - y)
-    signal, rest = _dot(target, target), _dot(noise, noise)
-    value = 10 * F.log10(signal / rest)
+    r, e = F.slice(reference, F.lit(1), n), F.slice(estimate, F.lit(1), n)
+    # sums over the raw samples, so that no lambda holds another array's sum
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double"))
+    mr, me = total(r) / n, total(e) / n
+    power, all_, both = _dot(r, r) - n * mr * mr, _dot(e, e) - n * me * me, _dot(r, e) - n * mr * me
+    signal = F.try_divide(both * both, power)
+    rest = all_ - signal
+    rest = F.when(rest <= 1e-13 * all_, 0.0).otherwise(rest)  # what rounding leaves of nothing
     tiny = F.lit(1e-8)
     if task == "se":
         return F.when(power <= tiny, F.raise_error(F.lit("the reference is silent")).cast("double")).when(rest <= tiny, 100.0).otherwise(10 * F.log10((signal + tiny) / (rest + tiny)))
-    return F.when(power == 0, 0.0).when(rest == 0, F.lit(float("inf"))).when(signal == 0, F.lit(float("-inf"))).otherwise(value)
+    return F.when(power <= 1e-30, 0.0).when(rest == 0, F.lit(float("inf"))).when(signal == 0, F.lit(float("-inf"))).otherwise(10 * F.log10(signal / rest))
 
 
 def max_frame(scores: Column) -> Column:

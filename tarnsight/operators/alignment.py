@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def last_wins(rows: DataFrame, order: str, key: str = "key") -> DataFrame:
-    """One row a key, the last by `order`."""
+def last_wins(rows: DataFrame, order: list[str], key: str = "key") -> DataFrame:
+    """One row a key, the last by the columns of `order`."""
     rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("x")).select(key, "x.*")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x")).select(key, "x.*")
 
 
 def left_pairs(ref: DataFrame, hyp: DataFrame, key: str = "key", text: str = "text", order: str = "line_at") -> DataFrame:
@@ -74,7 +74,7 @@ def matches(raw, choices):
     from ..functions.text import label_value
 
     low = label_value(raw)
-    is_id = F.filter(choices, lambda c: (low == F.lower(c["id"])) | F.lower(raw).rlike(F.concat(F.lit(r"(?U)(^|[^\p{L}\p{N}])"), F.regexp_replace(F.lower(c["id"]), r"([^\p{L}\p{N}])", r"\\\\$1"), F.lit(r"($|[^\p{L}\p{N}])"))))
+    is_id = F.filter(choices, lambda c: (low == F.lower(c["id"])) | F.rlike(F.lower(raw), F.concat(F.lit(r"(^|[^\p{L}\p{N}])"), F.regexp_replace(F.lower(c["id"]), r"([^\p{L}\p{N}])", r"\\$1"), F.lit(r"($|[^\p{L}\p{N}])"))))
     names = lambda c: F.concat(F.array(c["text"]), F.coalesce(c["aliases"], F.array().cast("array<string>")))
     by_text = F.filter(choices, lambda c: F.exists(names(c), lambda t: (label_value(t) != "") & ((label_value(t) == low) | F.contains(low, label_value(t)))))
     found = F.when(F.size(is_id) > 0, is_id).otherwise(by_text)

@@ -170,8 +170,35 @@ def diarization_error(spark, sf_dir):
 
 @query()
 def cp_error_rate(spark, sf_dir):
-    """Concatenated minimum-permutation error rate of conversations' roles, renamed."""
+    """Concatenated minimum-permutation error rate of the turns' openings, with the roles renamed."""
     c = table(spark, sf_dir, "conversations").where("role <> 'system'")
-    ref = c.select(F.col("conv_id").cast("string").alias("session"), F.col("role").alias("speaker"), F.col("turn").cast("double").alias("start"), F.col("text").alias("words"))
+    opening = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 40), " ")
+    ref = c.select(F.col("conv_id").cast("string").alias("session"), F.col("role").alias("speaker"), F.col("turn").cast("double").alias("start"), opening.alias("words"))
     hyp = ref.withColumn("speaker", F.when(F.col("speaker") == "user", "s2").otherwise("s1")).withColumn("words", F.regexp_replace("words", "^[^ ]+ ", ""))
     return diarization.cpwer(ref, hyp)
+
+
+@query()
+def route_catalog(spark, sf_dir):
+    """Every evaluation route with its identity."""
+    from .routes import catalog
+
+    return catalog(spark)
+
+
+@query()
+def canonical_itn_text(spark, sf_dir):
+    """Spoken numbers and signs under the canonical chains."""
+    from ..functions.spoken import chain
+
+    rows = spark.createDataFrame([("今年是二零二四年",), ("增长百分之十五",), ("4500亿元",), ("我们一起去三十二号",), ("我有Five apples",)], "text string")
+    return rows.select("text", chain("canonical")("text").alias("zh"), chain("canonical_mixed")("text").alias("mixed"))
+
+
+@query()
+def english_numbers(spark, sf_dir):
+    """Spelled English numbers."""
+    from ..functions.spoken import chain
+
+    rows = spark.createDataFrame([("twenty twenty four",), ("one hundred and five dollars",), ("three point one four",), ("twenty first",), ("double five six",), ("two and a half",)], "text string")
+    return rows.select("text", chain("english_numbers")("text").alias("written"), chain("verbalise_en")(chain("english_numbers")("text")).alias("again"))

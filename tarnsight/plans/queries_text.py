@@ -190,11 +190,11 @@ def key_set_equality_check(spark, sf_dir):
     return both.agg(F.count("o").alias("num_ref"), F.count("l").alias("num_hyp"), F.count_if(F.col("l").isNull()).alias("num_missing"), F.count_if(F.col("o").isNull()).alias("num_extra"))
 
 
-@query("select l_orderkey as key, l_linenumber, l_quantity from (select *, row_number() over (partition by l_orderkey order by l_linenumber desc) as k from lineitem) where k = 1")
+@query("select l_orderkey as key, l_linenumber, l_quantity from (select *, row_number() over (partition by l_orderkey order by l_linenumber desc, l_quantity desc) as k from lineitem) where k = 1")
 def duplicate_hyp_last_wins(spark, sf_dir):
     """The last line of each order."""
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", "l_quantity")
-    return alignment.last_wins(l, "l_linenumber")
+    return alignment.last_wins(l, ["l_linenumber", "l_quantity"])
 
 
 @query(r"select doc_id, length(s) as kept, md5(s) as digest from (select doc_id, regexp_replace(text[1:500], '[\p{P}\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]', '', 'g') as s from documents)")
