@@ -3,8 +3,8 @@
 Partition i holds n_i rows and shard j shall hold m_j. A uniform permutation moves a_ij rows from i to j, where the matrix a has the row
 sums n and column sums m and follows the multivariate hypergeometric law. No machine holds the matrix: the shard counts of a range of
 partitions are split between its halves by a draw that depends on the seed and the range alone, so each partition finds its own row in
-log2(partitions) draws. A partition permutes its rows' targets locally; rows go to their shards in one exchange; each shard orders its
-rows by independent random keys. The result is a uniform permutation of the table, with exact shard sizes.
+log2(partitions) draws. A partition permutes its rows' targets locally; one exchange takes each row to the partition of its shard, by
+number, so no two shards meet by chance; there independent random keys order it. The result is a uniform permutation of the table, with exact shard sizes.
 
 Partition counts must not change between the pass that counts and the pass that moves: the input is the scan of a written table, whose
 splits are fixed by its files, or is written once to the shared folder; a partition that finds other than its counted rows raises.
@@ -23,11 +23,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..runtime import set_aside, ship, staged
 
 SHARD_ROWS = 8192
+MOST_PARTITIONS = 20_000
 _SHIFT = 33  # monotonically_increasing_id: partition << 33 | row
 
 
@@ -98,7 +98,7 @@ def shuffle(docs: DataFrame, sizes: list[int] | None = None, seed: int = 2024060
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = set_aside(docs, ["shard", "position", "__place__"])
+    docs = set_aside(docs, ["shard", "position", "__place__", "__key__"])
     if not fixed_splits:
         docs = staged(docs, "shuffle-input")
     pid = F.spark_partition_id()
@@ -128,8 +128,20 @@ def shuffle(docs: DataFrame, sizes: list[int] | None = None, seed: int = 2024060
         if plan is not None and seen != len(plan):
             raise ValueError(f"partition {part} has {seen} rows where {len(plan)} were counted: the input's partitions changed")
 
-    place = F.monotonically_increasing_id()
-    key = F.xxhash64(F.lit(seed + 2), "__place__")
-    rows = docs.withColumn("__place__", place).withColumn("shard", aim("__place__"))
-    order = Window.partitionBy("shard").orderBy(key, "__place__")
-    return rows.withColumn("position", F.row_number().over(order).cast("long") - 1).drop("__place__")
+    # never evaluated twice or over rows that a later filter leaves: it counts the rows that it sees
+    aim = aim.asNondeterministic()
+    # one partition a shard, or a run of neighbouring shards where there are more than MOST_PARTITIONS
+    per = max(1, -(-len(target) // MOST_PARTITIONS))
+    parts = -(-len(target) // per)
+    first = np.cumsum(target) - target
+    shift = spark.sparkContext.broadcast(first - first[np.arange(len(target)) // per * per])
+
+    @F.pandas_udf("long")
+    def ahead(shard: pd.Series) -> pd.Series:
+        return pd.Series(shift.value[shard.to_numpy()])
+
+    rows = docs.withColumn("__place__", F.monotonically_increasing_id()).withColumn("shard", aim("__place__"))
+    rows = rows.repartitionById(parts, F.floor(F.col("shard") / per).cast("int"))
+    rows = rows.withColumn("__key__", F.xxhash64(F.lit(seed + 2), "__place__")).sortWithinPartitions("shard", "__key__", "__place__").drop("__key__", "__place__")
+    # a row's number in its sorted partition, less the rows of the shards before its own
+    return rows.withColumn("position", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _SHIFT) - 1)) - ahead("shard"))
