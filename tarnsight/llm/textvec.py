@@ -88,6 +88,20 @@ def pieces(column: pa.Array, size: int = 4 << 20):
         i = j
 
 
+def _sums(mapped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(total, down): (total[j] - total[i]) * down[i] is a hash of the mapped bytes i to j, wherever they lie."""
+    n = len(mapped)
+    up, down = _powers(n + 1)
+    total = np.zeros(n + 1, U)
+    np.cumsum(_VALUES[mapped] * up[:n], out=total[1:])
+    return total, down
+
+
+def sums(buf: np.ndarray, table: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums for the hashes of parts of words."""
+    return _sums(table[buf])
+
+
 def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray = WORD) -> Words:
     """Every word of the texts with a 64-bit hash of its mapped bytes."""
     n = len(buf)
@@ -104,9 +118,7 @@ def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray = WORD) -> Words:
     after[:-1] = inside[1:]
     after[heads[heads > 0] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum(_VALUES[m] * up[:n], out=total[1:])
+    total, down = _sums(m)
     h = mix((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
     return Words(start, end, h, np.searchsorted(start, off))
 

@@ -1,12 +1,13 @@
 """Toxicity: cumulative-link ordinal regression over sparse word features.
 
 P(severity <= k) = logistic(theta_k - w.x): one weight vector for all grades, ordered thresholds. x holds log(1 + count) of the words
-that the labels single out. Labels say toxic or not; the grades of training are 0 for the others and 1 to 3 for toxic ones, by terciles
-of how often they use words that toxic documents prefer (1 where they use none). Words are chosen by the exact binomial tail of their
-document counts at a level of ALPHA over all words tested.
+and word beginnings (of PREFIXES bytes) that the labels single out, so that families of inflected words count as one, and the logarithm
+of the document's length, against which such counts are to be read. Labels say toxic or not; the grades of training are 0 for the others and 1 to 3 for toxic ones, by terciles
+of their evidence under a fit of toxic or not (1 where they use no chosen word). Words are chosen by the exact binomial tail of their
+document counts at a level of ALPHA over all that are tested.
 
 The model is fitted on at most TRAIN_ROWS labelled documents, the first by a hash of doc_id: a documented bound. In it, near copies
-(SimHash within its radius) carry one vote with their mean label, so that copies of a mislabelled document count once. Scoring covers
+(SimHash within its radius) of the same label carry one vote together, so that copies of a mislabelled document count once. Scoring covers
 every row and whole texts.
 
 Output: doc_id, grade (the likeliest), expected_severity (0 to 3), toxic_probability (of grade 1 or more), toxic (that is at least 1/2).
@@ -33,15 +34,43 @@ from .quality import labelled_sample
 
 U = np.uint64
 GRADES = 4
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 6_000
 ALPHA = 0.01
 MOST_WORDS = 512
+PREFIXES = (4, 5, 6, 7)
+
+
+def _hashes(buf: np.ndarray, w: tv.Words):
+    """(word numbers, 42-bit keys): of whole words, then of the beginnings of longer ones, by length."""
+    yield np.arange(len(w.hash)), w.hash >> U(22)
+    total, down = tv.sums(buf)
+    for k in PREFIXES:
+        at = np.flatnonzero(w.end - w.start > k)
+        s = w.start[at]
+        yield at, tv.mix((total[s + k] - total[s]) * down[s] + U(k * 0x9E3779B97F4A7C15 % 2**64)) >> U(22)
+
+
+def sparse(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, count, words of each row) of the distinct features of each text, sorted by row and key."""
+    rows, keys, times, sizes, first = [], [], [], [], 0
+    for _, buf, off in tv.pieces(column, 1 << 20):
+        w = tv.words(buf, off)
+        owner = w.owner().astype(U)
+        packed = np.sort(np.concatenate([(owner[at] << U(42)) | key for at, key in _hashes(buf, w)]))
+        head = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1]))[: len(packed)])
+        rows.append((packed[head] >> U(42)).astype(np.int64) + first)
+        keys.append(packed[head] & U((1 << 42) - 1))
+        times.append(np.diff(np.append(head, len(packed))))
+        sizes.append(np.diff(w.row))
+        first += len(off) - 1
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) if x else empty for x in (rows, keys, times, sizes))
 
 
 @dataclass
 class Model:
-    keys: np.ndarray  # sorted 42-bit word keys
-    weight: np.ndarray
+    keys: np.ndarray  # sorted 42-bit keys of words and word beginnings
+    weight: np.ndarray  # theirs, and that of the length
     theta: np.ndarray  # GRADES - 1 thresholds, rising
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
@@ -49,25 +78,26 @@ class Model:
         return np.diff(np.concatenate([np.zeros((len(x), 1)), below, np.ones((len(x), 1))], 1), axis=1)
 
     def features(self, column: pa.Array) -> np.ndarray:
-        out = []
-        for _, buf, off in tv.pieces(column):
-            n = len(off) - 1
-            x = np.zeros((n, len(self.keys)))
-            if len(self.keys):
-                w = tv.words(buf, off)
-                key = w.hash >> U(22)
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = np.flatnonzero(self.keys[at] == key)
-                row = np.searchsorted(w.row, hit, "right") - 1
-                x = np.bincount(row * len(self.keys) + at[hit], minlength=x.size).reshape(x.shape).astype(float)
-            out.append(np.log1p(x))
-        return np.concatenate(out) if out else np.zeros((0, len(self.keys)))
-
-
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray | None = None, grades: int = GRADES, ridge: float = 1e-3, rounds: int = 600, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+        out, m = [], len(self.keys)
+        maybe = np.zeros(1 << 16, bool)
+        maybe[(self.keys & U(0xFFFF)).astype(np.int64)] = True
+        for _, buf, off in tv.pieces(column, 1 << 20):
+            n, w = len(off) - 1, tv.words(buf, off)
+            x = np.zeros(n * m, np.int64)
+            for at, key in _hashes(buf, w) if m else ():
+                some = np.flatnonzero(maybe[(key & U(0xFFFF)).astype(np.int64)])
+                place = np.minimum(np.searchsorted(self.keys, key[some]), m - 1)
+                hit = self.keys[place] == key[some]
+                row = np.searchsorted(w.row, at[some[hit]], "right") - 1
+                x += np.bincount(row * m + place[hit], minlength=n * m)
+            out.append(np.log1p(np.column_stack([x.reshape(n, m), np.diff(w.row)])))
+        return np.concatenate(out) if out else np.zeros((0, m + 1))
+
+
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray | None = None, grades: int = GRADES, ridge: float = 1e-4, rounds: int = 1500, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by Adam on the penalised likelihood; thresholds stay ordered as a first one and positive gaps."""
-    n = max(1, len(grade))
     weight = np.ones(len(grade)) if weight is None else weight
+    n = max(1.0, weight.sum())
     share = np.array([(weight * (grade <= k)).sum() + 0.5 for k in range(grades - 1)]) / (weight.sum() + 1)
     theta = np.log(share / (1 - share))
     theta = np.maximum.accumulate(theta + 1e-3 * np.arange(grades - 1))
@@ -98,7 +128,14 @@ def binomial_tail(k: int, n: int, p: float) -> float:
         return 1.0
     if not 0 < p < 1:
         return float(p >= 1)
-    return min(1.0, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p)) for i in range(k, n + 1)))
+    term = exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log(1 - p))
+    total, ratio = 0.0, p / (1 - p)
+    for i in range(k, n + 1):
+        total += term
+        term *= (n - i) / (i + 1) * ratio
+        if i > n * p and term < total * 1e-12:  # terms fall from the mean on
+            break
+    return min(1.0, total)
 
 
 def votes(fp: np.ndarray) -> np.ndarray:
@@ -113,64 +150,67 @@ def votes(fp: np.ndarray) -> np.ndarray:
     return group
 
 
-def train(rows: list[tuple[float, np.ndarray, np.ndarray]], group: np.ndarray) -> Model:
-    """rows: (label, distinct keys, counts) of each document; group: votes()."""
-    heads, back = np.unique(group, return_inverse=True)
-    label = np.bincount(back, [r[0] for r in rows], len(heads)) / np.maximum(np.bincount(back, minlength=len(heads)), 1) if rows else np.zeros(0)
-    y = label >= 0.5
-    rows = [rows[h] for h in heads]
-    none = Model(np.zeros(0, U), np.zeros(0), np.array([30.0, 31.0, 32.0]))
+def train(rows: list[tuple[float, np.ndarray, np.ndarray, int]], group: np.ndarray) -> Model:
+    """rows: (label, distinct keys, counts, words) of each document; group: votes()."""
+    none = Model(np.zeros(0, U), np.zeros(1), np.array([30.0, 31.0, 32.0]))
     if not len(rows):
         return none
+    y = np.array([r[0] for r in rows]) >= 0.5
+    # near copies with the same label have one vote together
+    _, unit, votes_ = np.unique(group * 2 + y, return_inverse=True, return_counts=True)
+    weight = 1 / votes_[unit]
     key = np.concatenate([r[1] for r in rows]).astype(U)
     owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    word, at, df = np.unique(key, return_inverse=True, return_counts=True)
-    toxic = np.bincount(at, y[owner], len(word)).astype(int)
-    rate = y.mean()
+    word, at = np.unique(key, return_inverse=True)
+    pair = np.unique(at * np.int64(len(votes_)) + unit[owner])
+    of_word, of_unit = pair // len(votes_), pair % len(votes_)
+    bad = np.zeros(len(votes_), bool)
+    bad[unit] = y
+    df = np.bincount(of_word, minlength=len(word))
+    toxic = np.bincount(of_word, bad[of_unit], len(word)).astype(int)
+    rate = bad.mean()
     tested = np.flatnonzero(df >= 3)
     level = ALPHA / max(1, len(tested))
     likely = tested[toxic[tested] > df[tested] * rate]
     tail = np.array([binomial_tail(toxic[i], df[i], rate) for i in likely])
-    chosen = likely[np.argsort(tail)][: int((tail <= level).sum())][:MOST_WORDS] if len(likely) else likely
+    chosen = likely[np.argsort(tail, kind="stable")][: int((tail <= level).sum())][:MOST_WORDS] if len(likely) else likely
     keys = np.sort(word[chosen])
     counts = np.zeros((len(rows), len(keys)))
     if len(keys):
         place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         hit = keys[place] == key
         counts[owner[hit], place[hit]] = np.concatenate([r[2] for r in rows])[hit]
-    used = counts.sum(1)
-    some = used[y & (used > 0)]
-    cut = np.quantile(some, [1 / 3, 2 / 3]) if len(some) else np.array([0.0, 0.0])
-    grade = np.where(y, 1 + (used > cut[0]).astype(int) + (used > cut[1]), 0)
-    weight, theta = fit_ordinal(np.log1p(counts), grade)
-    return Model(keys, weight, theta)
+    x = np.log1p(np.column_stack([counts, [r[3] for r in rows]]))
+    # severity of toxic rows: terciles of the evidence by a fit of toxic or not
+    evidence = x @ fit_ordinal(x, y.astype(int), weight, grades=2)[0]
+    some = evidence[y & (counts.sum(1) > 0)]
+    cut = np.quantile(some, [1 / 3, 2 / 3]) if len(some) else np.array([np.inf, np.inf])
+    grade = np.where(y, 1 + ((evidence > cut[0]) & (counts.sum(1) > 0)).astype(int) + ((evidence > cut[1]) & (counts.sum(1) > 0)), 0)
+    w, theta = fit_ordinal(x, grade, weight)
+    return Model(keys, w, theta)
 
 
 def _training_rows(batches):
     for b in batches:
         fp, has = simhash.fingerprints(b.column("text"))
-        keys, counts, sizes = [], [], []
-        for _, buf, off in tv.pieces(b.column("text")):
-            row, key, times = tv.distinct_per_row(tv.words(buf, off))
-            keys.append(key)
-            counts.append(times)
-            sizes.append(np.bincount(row, minlength=len(off) - 1))
-        off = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32) if sizes else np.zeros(1, np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(x).astype(k) if x else np.zeros(0, k))) for x, k in ((keys, np.int64), (counts, np.int32))]
-        yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64)), *lists], ["y", "h0", "h1", "keys", "counts"])
+        row, key, times, size = sparse(b.column("text"))
+        off = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(off), pa.array(x.astype(k))) for x, k in ((key, np.int64), (times, np.int32))]
+        cols = [b.column("y"), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64)), *lists, pa.array(size.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(cols, ["y", "h0", "h1", "keys", "counts", "words"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """The model for `labels.toxic`, from at most `rows` labelled documents of docs."""
     ship(docs.sparkSession)
     lower = docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("text"))
-    got = labelled_sample(lower, labels, "toxic", rows).mapInArrow(_training_rows, "y double, h0 long, h1 long, keys array<long>, counts array<int>")
+    got = labelled_sample(lower, labels, "toxic", rows).mapInArrow(_training_rows, "y double, h0 long, h1 long, keys array<long>, counts array<int>, words long")
     t = got.toArrow().sort_by([("h0", "ascending"), ("h1", "ascending"), ("y", "ascending")]).combine_chunks()
     fp = np.stack([t.column(c).to_numpy().astype(np.int64).view(U) for c in ("h0", "h1")], 1)
     keys, counts = (t.column(c).combine_chunks() for c in ("keys", "counts"))
     at = keys.offsets.to_numpy() if len(keys) else np.zeros(1, np.int32)
     flat = [x.values.to_numpy() if len(x) else np.zeros(0, np.int64) for x in (keys, counts)]
-    parts = [(y, flat[0][i:j], flat[1][i:j]) for y, i, j in zip(t.column("y").to_pylist(), at[:-1], at[1:])]
+    parts = [(y, flat[0][i:j], flat[1][i:j], n) for y, n, i, j in zip(t.column("y").to_pylist(), t.column("words").to_pylist(), at[:-1], at[1:])]
     return train(parts, votes(fp))
 
 

@@ -514,16 +514,13 @@ def test_mix_of_awkward_rows(spark, awkward, empty):
 
 
 def test_toxicity_on_held_out_labels(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     d, l = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    half = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10)) < 7
-    out = toxicity.score(d, toxicity.fit(d, l.where(half))).join(d.select("doc_id", "text"), "doc_id").collect()
-    # the labels hold some noise; what they mean is in the words
-    words = {"trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron"}
-    truth = {r.doc_id: len(set(_plain_words(r.text)) & words) for r in out}
-    caught = [r.toxic for r in out if truth[r.doc_id] >= 3]
-    clean = [r.toxic for r in out if truth[r.doc_id] == 0]
-    assert np.mean(caught) > 0.9 and np.mean(clean) < 0.01
+    fit_on = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10)) < 7
+    held = l.where(~fit_on).select("doc_id", F.col("toxic").alias("truth"))
+    out = toxicity.score(d, toxicity.fit(d, l.where(fit_on))).join(held, "doc_id").collect()
+    assert np.mean([r.toxic for r in out if r.truth == 1]) > 0.85
+    assert np.mean([r.toxic for r in out if r.truth == 0]) < 0.005
     assert all(0 <= r.expected_severity <= 3 for r in out)
 
 
