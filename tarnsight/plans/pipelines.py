@@ -105,7 +105,7 @@ def slu(ref: DataFrame, hyp: DataFrame, choices: DataFrame, output: str = "id")
     return _report(metrics.accuracy(named, "truth", "said"), find("slu", None, "accuracy"), None)
 
 
-def kws(samples: DataFrame, metric: str = "accuracy", threshold: float = 0.5, budget: int = 0, step: float = 0.01, input_mode: str = "sure_json") -> DataFrame:
+def kws(samples: DataFrame, metric: str = "accuracy", threshold: float = 0.5, budget: int = 0, step: float = 0.01, input_mode: str = "json_pair") -> DataFrame:
     """Accuracy at a threshold, or the most recall within a budget of false alarms."""
     route = find("kws", None, metric, input_mode=input_mode)
     if route.metric == "accuracy":

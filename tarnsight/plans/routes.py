@@ -66,9 +66,9 @@ def _routes() -> list[Route]:
     for task in ("classification", "ser", "gr"):
         add(task, "any", "accuracy", ("classify_v1",), pair)
     add("slu", "any", "accuracy", ("prompt_norm_v1", "classify_v1"), (*pair, "choices"))
-    for mode in ("sure_json", "wekws_score_ctc", "wekws_frame_score"):
+    for mode in ("json_pair", "wekws_score_ctc", "wekws_frame_score"):
         for m in ("accuracy", "macro_recall"):
-            add("kws", "any", m, (f"{mode}_v1", "wekws_det_v1"), ("samples",), (("input_mode", mode),), mode == "sure_json")
+            add("kws", "any", m, (f"{mode}_v1", "wekws_det_v1"), ("samples",), (("input_mode", mode),), mode == "json_pair")
     return out
 
 

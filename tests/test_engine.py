@@ -212,7 +212,7 @@ def test_routes(spark):
     assert d["pipeline_id"] == "tts.zh.multi.cer.paraformer_zh_v1.wetext_norm_zh_itn_v1.wenet_cer_v1__wavlm_large_sim.wavlm_large_sim_v1__dnsmos.dnsmos_v1"
     assert routes.find("asr", "cs", "mer").chain == ("aispeech_norm_v1", "wenet_mer_v1")
     assert routes.find("asr", pipeline_id="asr.zh.cer.canonical_itn_zh_v1.token_cer_v1").language == "zh"
-    for mode in ("sure_json", "wekws_score_ctc", "wekws_frame_score"):
+    for mode in ("json_pair", "wekws_score_ctc", "wekws_frame_score"):
         assert routes.find("kws", None, "macro-recall", input_mode=mode).chain[0] == mode + "_v1"
     with pytest.raises(LookupError):
         routes.find("asr", "en", "nothing")
