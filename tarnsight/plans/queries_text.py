@@ -74,7 +74,7 @@ def wer_by_lang(spark, sf_dir):
 
 @query(
     r"""with b as (select item_id, regexp_replace(text, '[^\x00-\x7F]', '', 'g') as t from benchmark), p as (select item_id, t, lead(t) over (order by item_id) as h from b)
-    select item_id, levenshtein(t, h) as errors, length(t) as n, round(levenshtein(t, h)::double / length(t), 6) as score from p where h is not null and length(t) > 0"""
+    select item_id, levenshtein(t, h)::int as errors, length(t)::int as n, round(levenshtein(t, h)::double / length(t), 6) as score from p where h is not null and length(t) > 0"""
 )
 def cer_benchmark(spark, sf_dir):
     """Character error rate of neighbouring benchmark items, by the built-in distance."""
@@ -87,7 +87,7 @@ def cer_benchmark(spark, sf_dir):
 @query(
     f"""with recursive b as (select item_id, {_SPLIT.format("text")} as w from benchmark where item_id < 24),
     p as (select a.item_id * 100000 + c.item_id as key, a.item_id, c.item_id as other, a.w as r, c.w as h from b a join b c on a.item_id <> c.item_id), {_DP}
-    select item_id, other, d as dist from (select item_id, other, d, row_number() over (partition by item_id order by d, other) as k from p join dist using (key)) where k = 1"""
+    select item_id, other, d::int as dist from (select item_id, other, d, row_number() over (partition by item_id order by d, other) as k from p join dist using (key)) where k = 1"""
 )
 def wer_benchmark_allpairs_best(spark, sf_dir):
     """The nearest other item of each of the first benchmark items."""

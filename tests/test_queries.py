@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tarnsight.plans import catalog
@@ -21,7 +22,7 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    clean = lambda v: "null" if v is None or v != v else f"{float(v):.5f}" if isinstance(v, float) else str(v)
+    clean = lambda v: "null" if pd.isna(v) else f"{float(v):.5f}" if isinstance(v, float) else str(v)
     return sorted(tuple(clean(v) for v in r) for r in df.astype(object).itertuples(index=False))
 
 
