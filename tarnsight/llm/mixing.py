@@ -129,5 +129,6 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, budget: float | None
 def take(docs: DataFrame, weights: DataFrame | None = None, budget: float | None = None, seed: int = 7) -> DataFrame:
     """The rows of docs that the sample holds."""
     some = mix(docs, weights, budget, seed).where("selected").select(F.col("doc_id").alias("__id__"), F.col("source").alias("__source__"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id__")) & F.col("source").eqNullSafe(F.col("__source__"))
-    return docs.join(some.hint("shuffle_hash"), same, "left_semi")
+    some = some.hint("shuffle_hash")
+    same = docs["doc_id"].eqNullSafe(some["__id__"]) & docs["source"].eqNullSafe(some["__source__"])
+    return docs.join(some, same, "left_semi")

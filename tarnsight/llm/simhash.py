@@ -258,7 +258,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECAL
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, seed: int = 20240517) -> DataFrame:
     """The rows of docs without near copies: one document of each group stays, and one row of each doc_id (null ids all stay)."""
     gone = near_duplicates(docs, radius, recall, seed).select("doc_id").withColumnRenamed("doc_id", "__gone__")
-    kept = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone__"), "left_anti")
+    gone = gone.hint("shuffle_hash")
+    kept = docs.join(gone, docs["doc_id"] == gone["__gone__"], "left_anti")
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice__"))
     twice = staged(twice, "repeated-ids")
     if twice.isEmpty():
