@@ -541,3 +541,10 @@ def test_toxicity_of_awkward_rows(awkward, empty, docs, labels):
     out = toxicity.score(awkward, model).collect()
     assert len(out) == len(AWKWARD) and not any(r.toxic for r in out)
     assert toxicity.score(empty, model).count() == 0
+
+
+def test_groups_that_share_a_cell_score_the_same(spark, docs, labels, monkeypatch):
+    score = lambda: {r.doc_id: r.relative_entropy for r in crossparse.score(docs, labels, cell=20_000).collect()}
+    want = score()
+    monkeypatch.setattr(crossparse, "GROUP", 5_000)
+    assert score() == want
