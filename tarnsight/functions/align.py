@@ -1,8 +1,8 @@
 """Token alignment by edit distance.
 
 Unit costs; on ties a deletion beats an insertion beats a match or substitution, in the cell that is reached. Every cell carries the
-counts of its one predecessor, so the counts are those of the backtrace. Short pairs are aligned by higher-order functions in the JVM;
-pairs longer than LONG tokens go through one Arrow UDF, a numpy row at a time.
+counts of its one predecessor, so the counts are those of the backtrace. Pairs go through one Arrow UDF, a numpy row at a time; `counts_native`
+does the same by higher-order functions in the JVM, which pays for pairs of a few tokens only.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LONG = 96
 COUNTS = T.StructType([T.StructField(c, T.IntegerType()) for c in ("dist", "cor", "sub", "del", "ins")])
 OPS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("op", "ref", "hyp")]))
 
@@ -86,11 +85,9 @@ def _counts_arrow(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["dist", "cor", "sub", "del", "ins"], dtype="Int32")
 
 
-def counts(ref: Column, hyp: Column, long: int = LONG) -> Column:
-    """dist, cor, sub, del, ins of two token arrays of any length."""
-    big = (F.size(ref) > long) | (F.size(hyp) > long)
-    far = _counts_arrow(F.when(big & (ref != hyp), ref), F.when(big & (ref != hyp), hyp))
-    return F.when(big & (ref != hyp), far).otherwise(counts_native(F.when(~big | (ref == hyp), ref), F.when(~big | (ref == hyp), hyp)))
+def counts(ref: Column, hyp: Column) -> Column:
+    """dist, cor, sub, del, ins of two token arrays of any length, by the Arrow UDF; `counts_native` suits pairs of a few tokens."""
+    return _counts_arrow(ref, hyp)
 
 
 def align_ops(ref: list, hyp: list) -> list[tuple[str, str | None, str | None]]:

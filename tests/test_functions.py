@@ -63,7 +63,7 @@ def test_alignment_equals_plain_dynamic_programming(spark):
     pairs = [([], []), ([], ["a"]), (["a"], [])] + [([rng.choice("abc") for _ in range(rng.randint(0, 8))], [rng.choice("abc") for _ in range(rng.randint(0, 8))]) for _ in range(150)]
     df = spark.createDataFrame(pairs, "r array<string>, h array<string>")
     r, h = F.col("r"), F.col("h")
-    got = df.select("r", "h", align.counts_native(r, h).alias("n"), align.counts(r, h, long=3).alias("m"), align.ops(r, h).alias("o")).collect()
+    got = df.select("r", "h", align.counts_native(r, h).alias("n"), align.counts(r, h).alias("m"), align.ops(r, h).alias("o")).collect()
     for x in got:
         want = _plain(x.r, x.h)
         assert tuple(x.n) == want and tuple(x.m) == want
