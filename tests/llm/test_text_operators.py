@@ -548,3 +548,16 @@ def test_groups_that_share_a_cell_score_the_same(spark, docs, labels, monkeypatc
     want = score()
     monkeypatch.setattr(crossparse, "GROUP", 5_000)
     assert score() == want
+
+
+def test_cross_parse_scores_all_where_reference_is_scarce_or_long(spark):
+    part = [r.id for r in spark.range(400).where("pmod(xxhash64(id, 11), 8) = 0").collect()]
+    rows = [(i, "a plain text of some words " + str(i) * 5, lang) for i, lang in zip(range(400), 100 * ["one", "two", "long", None])]
+    rows += [(part[0], "only reference here", "one"), (part[0], "reference", "two"), (part[1], "more reference", "two")]
+    rows += [(part[2], "long text " * 30_000, "long"), (part[3], "short", "long"), (part[4], "none", None), (part[5], "lang", None)]
+    of = {k: [r for r in rows[400:] if r[2] == k] for k in ("one", "two", "long", None)}
+    rows = [r for r in rows[:400] if r[0] not in part] + rows[400:]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1, 0) for i in part], "doc_id long, quality int, toxic int")
+    out = crossparse.score(docs, labels, cell=20_000).collect()
+    assert len(out) == len(rows) and all(of.values())
+    assert [(r.doc_id, r.lang) for r in out if r.relative_entropy is None] == [(part[0], "one")]
