@@ -1,6 +1,8 @@
 """Mixing sources to target weights by balanced sampling (cube method).
 
-Every document has an inclusion probability: its source's target share of the tokens over the source's own tokens, scaled by one budget.
+Every document has an inclusion probability: its source's target share of the tokens over the source's own tokens, scaled by one budget
+and capped at 1. A source with fewer tokens than its target is taken whole, what it lacks goes to the others by their weights, and
+`shortfalls` reports it. So no tiny source sets the size of the sample.
 The flight phase moves the vector of probabilities through the null space of the balancing constraints (a source's documents and its
 tokens), so that both totals stay what the probabilities promise, until every probability but a few is 0 or 1: first in blocks of a
 source that run apart, then over what the blocks left of each source, at most two documents a block. The landing phase frees the last
@@ -12,7 +14,9 @@ document or two. All draws follow from the seed and the doc_id.
 Unit: rows that share doc_id and source are one document, taken or left together, with the sum of their tokens. A null doc_id or null
 source is a value like others. Tokens are white-space words of the whole text; a null, empty or blank text has none and takes part in the
 document total alone. Sources without a weight are left out (probability 0); default weights are the sources' token shares to the power
-TEMPERATURE. Without tokens at all, every document has probability 1. An empty table gives an empty result. In `take`, all columns stay.
+TEMPERATURE, and the default budget under them is what the sources have
+of their shares of all tokens: sources of like size stay whole. Weights given without a budget are met exactly, at the largest budget that
+no source falls short of. Without tokens at all, every document has probability 1. An empty table gives an empty result. In `take`, all columns stay.
 """
 
 from __future__ import annotations
@@ -95,9 +99,8 @@ def units(docs: DataFrame) -> DataFrame:
     return one.groupBy("doc_id", "source").agg(F.sum("n_tokens").alias("n_tokens"))
 
 
-def with_probability(docs: DataFrame, weights: DataFrame | None = None, budget: float | None = None) -> DataFrame:
-    """`units` with p. weights: (source, weight). budget: tokens to aim at; the most that no source falls short of, where None."""
-    unit = units(docs)
+def _targets(unit: DataFrame, weights: DataFrame | None, budget: float | None) -> DataFrame:
+    """(source, all_tokens, n_docs, target, p) by source; target is in tokens and may exceed what the source has."""
     total = unit.groupBy("source").agg(F.sum("n_tokens").alias("all_tokens"), F.count("*").alias("n_docs"))
     if weights is None:
         total = total.withColumn("weight", F.pow(F.col("all_tokens").cast("double"), F.lit(TEMPERATURE)))
@@ -105,14 +108,37 @@ def with_probability(docs: DataFrame, weights: DataFrame | None = None, budget:
         w = weights.select(F.col("source").cast("string").alias("w_source"), F.col("weight").cast("double").alias("weight"))
         total = total.join(w, F.col("source").eqNullSafe(F.col("w_source")), "left").drop("w_source").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     every = Window.partitionBy()  # one row a source
-    share = F.col("weight") / F.sum("weight").over(every)
-    most = F.min(F.when((F.col("weight") > 0) & (F.col("all_tokens") > 0), F.col("all_tokens") / share)).over(every)
-    aim = F.lit(float(budget)) if budget is not None else most
-    p = F.when(F.sum("all_tokens").over(every) == 0, 1.0).when(F.col("weight") <= 0, 0.0).when(F.col("all_tokens") == 0, 1.0).otherwise(F.least(F.lit(1.0), aim * share / F.col("all_tokens")))
-    total = total.select(F.col("source").alias("p_source"), p.alias("p"), F.col("n_docs"))
+    live = (F.col("weight") > 0) & (F.col("all_tokens") > 0)
+    total = total.withColumn("full", F.when(live, F.col("all_tokens") / F.col("weight")))  # tokens a weight at which the source is used up
+    if budget is not None:
+        # sources are used up in the order of `full`; the first that isn't sets the tokens a weight
+        order = every.orderBy(F.col("full").asc_nulls_last(), "source")
+        before = F.coalesce(F.sum(F.when(live, F.col("all_tokens"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rest = F.sum(F.when(live, F.col("weight"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+        total = total.withColumn("place", F.row_number().over(order)).withColumn("rate", F.when(live, (F.lit(float(budget)) - before) / rest))
+        rate = F.coalesce(F.min_by("rate", F.when(F.col("rate") < F.col("full"), F.col("place"))).over(every), F.max("full").over(every))
+    elif weights is None:
+        rate = F.sum("all_tokens").over(every) / F.sum("weight").over(every)
+    else:
+        rate = F.min("full").over(every)
+    target = F.when(F.col("weight") > 0, rate * F.col("weight")).otherwise(0.0)
+    p = F.when(F.sum("all_tokens").over(every) == 0, 1.0).when(F.col("weight") <= 0, 0.0)
+    p = p.when(F.col("all_tokens") == 0, 1.0).otherwise(F.least(F.lit(1.0), target / F.col("all_tokens")))
+    return total.select("source", "all_tokens", "n_docs", target.alias("target"), p.alias("p"))
+
+
+def with_probability(docs: DataFrame, weights: DataFrame | None = None, budget: float | None = None) -> DataFrame:
+    """`units` with p. weights: (source, weight). budget: tokens to aim at."""
+    unit = units(docs)
+    total = _targets(unit, weights, budget).select(F.col("source").alias("p_source"), "p", "n_docs")
     return unit.join(total, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
 
 
+def shortfalls(docs: DataFrame, weights: DataFrame | None = None, budget: float | None = None) -> DataFrame:
+    """(source, all_tokens, target) of the sources that have fewer tokens than their target."""
+    return _targets(units(docs), weights, budget).where(F.col("target") > F.col("all_tokens") * (1 + _EPS)).select("source", "all_tokens", "target")
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, budget: float | None = None, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """(doc_id, source, n_tokens, inclusion_probability, selected) of every document."""
     ship(docs.sparkSession)

@@ -561,3 +561,21 @@ def test_cross_parse_scores_all_where_reference_is_scarce_or_long(spark):
     out = crossparse.score(docs, labels, cell=20_000).collect()
     assert len(out) == len(rows) and all(of.values())
     assert [(r.doc_id, r.lang) for r in out if r.relative_entropy is None] == [(part[0], "one")]
+
+
+def test_a_tiny_source_does_not_shrink_the_mix(spark):
+    def kept(sources, budget=None):
+        rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate((s, n) for s, (k, n) in sources.items() for _ in range(k))]
+        d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        out = mixing.mix(d, budget=budget).toPandas()
+        short = {r.source for r in mixing.shortfalls(d, budget=budget).collect()}
+        return (out.inclusion_probability * out.n_tokens).sum(), out[out.selected].n_tokens.sum(), out.n_tokens.sum(), short
+
+    even = {f"s{i}": (10, 50) for i in range(5)}
+    assert kept(even)[1] == kept(even)[2]
+    hot = even | {"hot": (500, 50)}
+    want, got, total, _ = kept(hot)
+    want2, got2, total2, short = kept(hot | {"tiny": (1, 3), None: (1, 1)})
+    assert got > 0.3 * total and got2 > 0.3 * total2 and want2 > 0.9 * want and {"tiny", None} <= short and "hot" not in short
+    want, got, *_, short = kept(hot | {"tiny": (1, 3)}, budget=4000)
+    assert abs(want - 4000) < 1e-6 and abs(got - 4000) <= 150 and "tiny" in short
