@@ -24,3 +24,7 @@ def whole(spark, duck, name, cut):
 @pytest.mark.parametrize("name", ["wer_conversation_turns", "session_macro_vs_micro"])
 def test_turns_are_whole(spark, duck, name):
     whole(spark, duck, name, "[1:60]")
+
+
+def test_all_pairs_of_a_label(spark, duck):
+    whole(spark, duck, "embedding_cosine_pairs", " and b.vec_id < a.vec_id + 20")
