@@ -28,3 +28,17 @@ def test_turns_are_whole(spark, duck, name):
 
 def test_all_pairs_of_a_label(spark, duck):
     whole(spark, duck, "embedding_cosine_pairs", " and b.vec_id < a.vec_id + 20")
+
+
+def test_all_benchmark_items(spark, duck):
+    whole(spark, duck, "wer_benchmark_allpairs_best", " where item_id < 24")
+
+
+def test_diarisation_of_all_users(spark, monkeypatch):
+    from tarnsight.operators import diarization
+
+    seen, big = {}, SF.replace("sf0.001", "sf0.01")
+    monkeypatch.setattr(diarization, "der", lambda ref, hyp, **k: seen.setdefault("ref", ref))
+    catalog.QUERIES["diarization_error"](spark, big)
+    events = spark.read.parquet(f"{big}/events.parquet").where("event_type in ('click', 'view', 'signup')")
+    assert seen["ref"].count() == events.count() > events.where("user_id < 20").count()
