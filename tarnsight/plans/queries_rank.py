@@ -170,10 +170,10 @@ def diarization_error(spark, sf_dir):
 
 @query()
 def cp_error_rate(spark, sf_dir):
-    """Concatenated minimum-permutation error rate of the turns' openings, with the roles renamed."""
+    """Concatenated minimum-permutation error rate of the turns, with the roles renamed."""
     c = table(spark, sf_dir, "conversations").where("role <> 'system'")
-    opening = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 40), " ")
-    ref = c.select(F.col("conv_id").cast("string").alias("session"), F.col("role").alias("speaker"), F.col("turn").cast("double").alias("start"), opening.alias("words"))
+    whole = F.array_join(F.split(F.trim("text"), r"\s+"), " ")
+    ref = c.select(F.col("conv_id").cast("string").alias("session"), F.col("role").alias("speaker"), F.col("turn").cast("double").alias("start"), whole.alias("words"))
     hyp = ref.withColumn("speaker", F.when(F.col("speaker") == "user", "s2").otherwise("s1")).withColumn("words", F.regexp_replace("words", "^[^ ]+ ", ""))
     return diarization.cpwer(ref, hyp)
 

@@ -42,3 +42,13 @@ def test_diarisation_of_all_users(spark, monkeypatch):
     catalog.QUERIES["diarization_error"](spark, big)
     events = spark.read.parquet(f"{big}/events.parquet").where("event_type in ('click', 'view', 'signup')")
     assert seen["ref"].count() == events.count() > events.where("user_id < 20").count()
+
+
+def test_whole_turns_in_cpwer(spark, monkeypatch):
+    from tarnsight.operators import diarization
+
+    seen = {}
+    monkeypatch.setattr(diarization, "cpwer", lambda ref, hyp: seen.setdefault("ref", ref))
+    catalog.QUERIES["cp_error_rate"](spark, SF)
+    want = sum(len(r.text.split()) for r in spark.read.parquet(f"{SF}/conversations.parquet").where("role <> 'system'").collect())
+    assert sum(len(r.words.split()) for r in seen["ref"].collect()) == want
