@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
@@ -12,11 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch, so that a worker's memory doesn't follow the length of the texts in it.
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once per application, so that functions pickled by name load there."""
+    """Give this package to the executors' Python workers, once per application, so that functions pickled by name load there.
+
+    Arrow batches of the session are bounded by BATCH_BYTES, unless it has a bound below Spark's default already.
+    """
     app = spark.sparkContext.applicationId
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "").rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(BATCH_BYTES))
     if app in _SHIPPED:
         return
     here = os.path.dirname(os.path.abspath(__file__))
@@ -86,6 +93,17 @@ def set_aside(df: DataFrame, names: list[str]) -> DataFrame:
     return df.toDF(*new) if new != df.columns else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores before it until no column of df has it (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def column_or_null(df: DataFrame, name: str, kind: str):
     """The named column cast to a type, or nulls of that type where df has no such column."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
