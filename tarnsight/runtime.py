@@ -22,7 +22,7 @@ def ship(spark: SparkSession) -> None:
     """
     app = spark.sparkContext.applicationId
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "").rstrip("b") == str(64 << 20):
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
         spark.conf.set(key, str(BATCH_BYTES))
     if app in _SHIPPED:
         return
