@@ -12,7 +12,8 @@ repeated samples as keep a pair at `radius` with probability .99; nothing is dro
 
 Defined results: rows with a null doc_id belong to no group and always stay. Rows that share a doc_id are one document (of them, the
 smallest text counts, null first). A null or empty text, or one without any letter or digit, has no fingerprint and no copies. Repeated
-texts have distance 0. An empty table gives an empty result. Other columns are ignored, whatever their names.
+texts have distance 0. Very long texts are read whole; their fingerprints are as long as any. An empty table gives an empty result. Other
+columns are ignored, and stay in `drop_near_duplicates`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import discard, ship, staged
+from ..runtime import discard, ship, staged, unused
 from . import textvec as tv
 
 U = np.uint64
@@ -213,9 +214,8 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, recall: float = RECALL,
     bits, tables = sampling(one.count(), radius, recall)
     rows = one.mapInArrow(_table_rows(seed, tables, bits), "bucket long, doc_id long, h0 long, h1 long")
     near = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_edge_rows(seed, tables, bits, radius), "a long, b long")
-    same = (
-        prints.withColumn("a", F.min("doc_id").over(Window.partitionBy("h0", "h1"))).where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
-    )
+    # the least document of each fingerprint by a partial aggregate, so that a text of very many copies is no task of its own
+    same = prints.join(one.withColumnRenamed("doc_id", "a"), ["h0", "h1"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
     return near.union(same).distinct()
 
 
@@ -223,25 +223,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(doc_id, root) for every doc_id in a component of two or more but its root, the smallest: large-star and small-star rounds."""
     now = staged(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m").distinct(), "edges")
     state = None
-    for _ in range(60):
-        # large star: each node sends its larger neighbours to the smallest of its neighbourhood
+    while True:
+        # large star: each node sends its larger neighbours to the smallest of its neighbourhood; minima are aggregated before they are
+        # joined, so that a node of very many edges is no task of its own
         both = now.select(F.col("v").alias("u"), F.col("m").alias("w")).union(now.select(F.col("m").alias("u"), F.col("v").alias("w")))
-        low = F.least(F.col("u"), F.min("w").over(Window.partitionBy("u")))
-        large = both.withColumn("low", low).where("w > u").select(F.col("w").alias("v"), F.col("low").alias("m")).distinct()
+        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("w")).alias("low"))
+        large = both.where("w > u").join(low, "u").select(F.col("w").alias("v"), F.col("low").alias("m")).distinct()
         # small star: each node and its smaller neighbours go to the smallest of them
-        low = F.min("m").over(Window.partitionBy("v"))
-        small = large.withColumn("low", low).select(F.explode(F.array(F.struct("m", "low"), F.struct(F.col("v").alias("m"), "low"))).alias("x"))
+        low = large.groupBy("v").agg(F.min("m").alias("low"))
+        small = large.join(low, "v").select(F.explode(F.array(F.struct("m", "low"), F.struct(F.col("v").alias("m"), "low"))).alias("x"))
         following = staged(small.select(F.col("x.m").alias("v"), F.col("x.low").alias("m")).where("v <> m").distinct(), "edges")
         discard(now)
         now = following
         # decimal sums: exact, so equal states mean that nothing moved
         new = now.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(20,0)")), F.sum(F.xxhash64("m", "v").cast("decimal(20,0)"))).first()
         if new == state:
-            break
+            return now.select(F.col("v").alias("doc_id"), F.col("m").alias("root"))
         state = new
-    else:
-        raise RuntimeError("components did not settle in 60 rounds")
-    return now.select(F.col("v").alias("doc_id"), F.col("m").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, seed: int = 20240517) -> DataFrame:
@@ -251,20 +249,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECAL
     # rows that share a doc_id are one document
     prints = staged(prints.groupBy("doc_id").agg(F.min(F.struct("h0", "h1")).alias("h")).select("doc_id", "h.h0", "h.h1"), "simhash")
     found = components(near_edges(prints, radius, recall, seed))
-    size = F.count("*").over(Window.partitionBy("root")) + 1
-    return found.select("doc_id", F.col("root").alias("duplicate_of"), size.alias("group_size"))
+    size = found.groupBy("root").agg((F.count("*") + 1).alias("group_size"))
+    return found.join(size, "root").select("doc_id", F.col("root").alias("duplicate_of"), "group_size")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, seed: int = 20240517) -> DataFrame:
     """The rows of docs without near copies: one document of each group stays, and one row of each doc_id (null ids all stay)."""
-    gone = near_duplicates(docs, radius, recall, seed).select("doc_id").withColumnRenamed("doc_id", "__gone__")
-    gone = gone.hint("shuffle_hash")
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone__"], "left_anti")
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice__"))
+    gone_id, twice_id, rank = unused(docs, "__gone__", "__twice__", "__rank__")
+    gone = near_duplicates(docs, radius, recall, seed).select(F.col("doc_id").alias(gone_id))
+    kept = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col(gone_id), "left_anti")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(twice_id))
     twice = staged(twice, "repeated-ids")
     if twice.isEmpty():
         return kept
-    same = F.col("doc_id") == F.col("__twice__")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in ["text"]], F.xxhash64(F.to_json(F.struct("*")))))
-    one = kept.join(twice.hint("shuffle_hash"), same, "left_semi").withColumn("__rank__", first).where("__rank__ = 1").drop("__rank__")
+    same = F.col("doc_id") == F.col(twice_id)
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), F.xxhash64(F.to_json(F.struct("*")))))
+    one = kept.join(twice.hint("shuffle_hash"), same, "left_semi").withColumn(rank, first).where(F.col(rank) == 1).drop(rank)
     return kept.join(twice.hint("shuffle_hash"), same, "left_anti").unionByName(one)
