@@ -13,7 +13,9 @@ Output, a row for each candidate: doc_id, start (in characters), length, format
 character under either), log_odds (their difference), is_secret (log_odds of at least THRESHOLD). The text itself is never put out.
 
 Defined results: null, empty and candidate-free texts give no rows; repeated rows and null doc_ids give theirs each. Candidates of any
-length are scored whole. Ties between formats go to the first name. An empty table gives an empty result. Other columns are ignored.
+length are scored whole, those of more than SHORT characters by a walk over the automata's joint states. Shorter runs than LEAST are no
+candidates, whatever their name. Ties between formats go to the first name. An empty table gives an empty result. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from ..runtime import ship, staged
 from . import textvec as tv
 
 LEAST = 16
+SHORT = 256
 TRAIN_ROWS = 600
 EXAMPLES = 200
 ALPHA = 1e-4
@@ -73,6 +76,7 @@ class _Tree:
 
     def __init__(self, strings: list[str]):
         self.next: list[dict[int, int]] = [{}]
+        self.arc: list[dict[int, int]] = [{}]  # how often each symbol follows: once merged, its state is reached by other ways too
         self.through, self.end = [0], [0]
         for s in strings:
             q = 0
@@ -82,8 +86,10 @@ class _Tree:
                 if i not in self.next[q]:
                     self.next[q][i] = len(self.next)
                     self.next.append({})
+                    self.arc.append({})
                     self.through.append(0)
                     self.end.append(0)
+                self.arc[q][i] = self.arc[q].get(i, 0) + 1
                 q = self.next[q][i]
                 self.through[q] += 1
             self.end[q] += 1
@@ -96,11 +102,13 @@ class _Tree:
         while todo:
             a, b = todo.pop()
             na, nb = self.through[a], self.through[b]
+            if 0.5 * log(2 / alpha) >= nb:
+                continue  # too few to differ from anything, and below b there are fewer
             if self._differs(self.end[a], na, self.end[b], nb, alpha):
                 return False
             for c in self.next[a].keys() | self.next[b].keys():
                 x, y = self.next[a].get(c), self.next[b].get(c)
-                if self._differs(0 if x is None else self.through[x], na, 0 if y is None else self.through[y], nb, alpha):
+                if self._differs(self.arc[a].get(c, 0), na, self.arc[b].get(c, 0), nb, alpha):
                     return False
                 if x is not None and y is not None and x != y:
                     todo.append((x, y))
@@ -115,6 +123,7 @@ class _Tree:
             self.end[a] += self.end[b]
             for c, y in self.next[b].items():
                 x = self.next[a].get(c)
+                self.arc[a][c] = self.arc[a].get(c, 0) + self.arc[b][c]
                 if x is None:
                     self.next[a][c] = y
                     hung.append((a, c, y))
@@ -173,6 +182,24 @@ class Grammar:
     pairs: np.ndarray  # background: symbol before (the last row: none) x symbol
     other_lengths: np.ndarray
 
+    def _rest(self, codes: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Each format's bits of the rest of a long candidate: one walk over the joint states of all formats, which are few where it goes."""
+        joint, number, step = [state], {state.tobytes(): 0}, [[-1] * _N]
+        q, path = 0, []
+        for c in codes.tolist():
+            path.append(q)
+            to = step[q][c]
+            if to < 0:
+                new = self.move[joint[q], c]
+                to = number.setdefault(new.tobytes(), len(joint))
+                if to == len(joint):
+                    joint.append(new)
+                    step.append([-1] * _N)
+                step[q][c] = to
+            q = to
+        seen, times = np.unique(np.array(path) * _N + codes, return_counts=True)
+        return times @ self.bits[np.stack(joint)[seen // _N], (seen % _N)[:, None]]
+
     def score(self, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(format, its bits a character, the background's) of candidates that lie one after another in codes."""
         n, sink = len(size), len(self.move) - 1
@@ -180,7 +207,7 @@ class Grammar:
         total = np.stack([_length_bits(h, size) for h in self.lengths], 1)
         state = np.tile(self.start, (n, 1))
         live, i = np.arange(n), 0
-        while len(live):
+        while len(live) and i < SHORT:
             c, q = codes[begin[live] + i][:, None], state[live]
             total[live] += self.bits[q, c]
             state[live] = q = self.move[q, c]
@@ -188,6 +215,8 @@ class Grammar:
             lost = (q == sink).all(1)
             total[live[lost]] += ((size[live[lost]] - i) * self.bits[sink, 0])[:, None]
             live = live[~lost & (size[live] > i)]
+        for k in live:
+            total[k] += self._rest(codes[begin[k] + i : begin[k] + size[k]], state[k])
         before = np.empty(len(codes), np.int64)
         before[1:] = codes[:-1]
         before[begin] = _N
