@@ -3,15 +3,18 @@
 Partition i holds n_i rows and shard j shall hold m_j. A uniform permutation moves a_ij rows from i to j, where the matrix a has the row
 sums n and column sums m and follows the multivariate hypergeometric law. No machine holds the matrix: the shard counts of a range of
 partitions are split between its halves by a draw that depends on the seed and the range alone, so each partition finds its own row in
-log2(partitions) draws. A partition permutes its rows' targets locally; one exchange takes each row to the partition of its shard, by
+log2(partitions) draws, each over the shards that its range still has (in numpy; no more than the range's rows). A partition permutes its rows' targets locally; one exchange takes each row to the partition of its shard, by
 number, so no two shards meet by chance; there independent random keys order it. The result is a uniform permutation of the table, with exact shard sizes.
 
 Partition counts must not change between the pass that counts and the pass that moves: the input is the scan of a written table, whose
 splits are fixed by its files, or is written once to the shared folder; a partition that finds other than its counted rows raises.
 
 Defined results: shard and position are added to the input's columns; an input column of such a name gets the suffix `_in`. All rows are
-kept, repeated rows and nulls too: a row is its place in the table, not its values. Sizes differ by at most one unless given. An empty
-table gives an empty result.
+kept, repeated rows and nulls too, and texts of any length: a row is its place in the table, not its values. Sizes differ by at most one
+unless given. An empty table gives an empty result.
+
+Only the partitions' row counts are broadcast, and the shards' sizes where they are given; even sizes are computed where they are needed.
+A task writes one shard, or a run of neighbouring ones where there are more than `most_tasks`; shards and positions don't depend on it.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from ..runtime import set_aside, ship, staged
 
 SHARD_ROWS = 8192
-MOST_PARTITIONS = 20_000
+MOST_TASKS = 20_000
 _SHIFT = 33  # monotonically_increasing_id: partition << 33 | row
 
 
@@ -38,15 +41,15 @@ def even_sizes(rows: int, shard_rows: int = SHARD_ROWS) -> np.ndarray:
 
 
 def draw(left: int, columns: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """How many of `left` rows, drawn from sum(columns), fall on each column: multivariate hypergeometric by conditional draws."""
-    out, rest = np.zeros(len(columns), np.int64), int(columns.sum())
-    for j, c in enumerate(columns):
-        rest -= int(c)
-        if left == 0:
-            break
-        got = _hypergeometric(int(c), rest, left, rng)
-        out[j], left = got, left - got
-    return out
+    """How many of `left` rows, drawn from sum(columns), fall on each column: multivariate hypergeometric."""
+    total = int(columns.sum())
+    if left in (0, total) or len(columns) == 1:
+        return columns.copy() if left == total else np.zeros(len(columns), np.int64) if not left else np.array([left])
+    if total < 1_000_000_000:  # numpy's bound
+        return rng.multivariate_hypergeometric(columns, left, method="marginals")
+    half = len(columns) // 2
+    first = _hypergeometric(int(columns[:half].sum()), int(columns[half:].sum()), left, rng)
+    return np.concatenate([draw(first, columns[:half], rng), draw(left - first, columns[half:], rng)])
 
 
 def _hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
@@ -76,21 +79,22 @@ def _hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> in
     return mode
 
 
-def matrix_row(partition: int, before: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
-    """Row `partition` of the communication matrix. before: running total of the partitions' rows, from 0."""
-    lo, hi, columns = 0, len(before) - 1, sizes
+def matrix_row(partition: int, before: np.ndarray, sizes: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shards, counts) of row `partition` of the communication matrix, without zeros. before: running total of the partitions' rows, from 0."""
+    lo, hi, shard, columns = 0, len(before) - 1, np.flatnonzero(sizes), sizes[sizes > 0]
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        rng = np.random.default_rng([seed, lo, hi])
-        left = draw(int(before[mid] - before[lo]), columns, rng)
+        left = draw(int(before[mid] - before[lo]), columns, np.random.default_rng([seed, lo, hi]))
         if partition < mid:
             hi, columns = mid, left
         else:
             lo, columns = mid, columns - left
-    return columns
+        some = columns > 0  # a range of partitions has no more shards than rows
+        shard, columns = shard[some], columns[some]
+    return shard, columns
 
 
-def shuffle(docs: DataFrame, sizes: list[int] | None = None, seed: int = 20240601, shard_rows: int = SHARD_ROWS, fixed_splits: bool = True) -> DataFrame:
+def shuffle(docs: DataFrame, sizes: list[int] | None = None, seed: int = 20240601, shard_rows: int = SHARD_ROWS, fixed_splits: bool = True, most_tasks: int = MOST_TASKS) -> DataFrame:
     """docs with (shard, position). sizes: the shards' sizes, that add up to the rows; about shard_rows each where None.
 
     fixed_splits: docs is a scan, filter or projection of written files, which gives the same partitions each time it runs; otherwise it
@@ -109,18 +113,19 @@ def shuffle(docs: DataFrame, sizes: list[int] | None = None, seed: int = 2024060
     target = even_sizes(total, shard_rows) if sizes is None else np.array(sizes, np.int64)
     if int(target.sum()) != total:
         raise ValueError(f"shard sizes add up to {int(target.sum())}; the table has {total} rows")
-    sent = spark.sparkContext.broadcast((before, target))
+    sent = spark.sparkContext.broadcast((before, None if sizes is None else target))
+    shards = lambda: even_sizes(total, shard_rows) if sent.value[1] is None else sent.value[1]
 
     @F.pandas_udf("int")
     def aim(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        before, target = sent.value
+        before, target = sent.value[0], shards()
         part, plan, seen = -1, None, 0
         for place in batches:
             place = place.to_numpy(np.int64)
             if len(place) and plan is None:
                 part = int(place[0]) >> _SHIFT
-                row = matrix_row(part, before, target, seed) if part + 1 < len(before) else np.zeros(1, np.int64)
-                plan = np.random.default_rng([seed, 1, part]).permutation(np.repeat(np.arange(len(row), dtype=np.int32), row))
+                row = matrix_row(part, before, target, seed) if part + 1 < len(before) else (np.zeros(0, np.int64),) * 2
+                plan = np.random.default_rng([seed, 1, part]).permutation(np.repeat(row[0].astype(np.int32), row[1]))
             seen += len(place)
             if plan is not None and seen > len(plan):
                 raise ValueError(f"partition {part} has more rows than were counted: the input's partitions changed")
@@ -130,15 +135,16 @@ def shuffle(docs: DataFrame, sizes: list[int] | None = None, seed: int = 2024060
 
     # never evaluated twice or over rows that a later filter leaves: it counts the rows that it sees
     aim = aim.asNondeterministic()
-    # one partition a shard, or a run of neighbouring shards where there are more than MOST_PARTITIONS
-    per = max(1, -(-len(target) // MOST_PARTITIONS))
+    per = max(1, -(-len(target) // most_tasks))
     parts = -(-len(target) // per)
-    first = np.cumsum(target) - target
-    shift = spark.sparkContext.broadcast(first - first[np.arange(len(target)) // per * per])
 
     @F.pandas_udf("long")
-    def ahead(shard: pd.Series) -> pd.Series:
-        return pd.Series(shift.value[shard.to_numpy()])
+    def ahead(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        target = shards()
+        first = np.cumsum(target) - target
+        shift = first - first[np.arange(len(target)) // per * per]
+        for shard in batches:
+            yield pd.Series(shift[shard.to_numpy()])
 
     rows = docs.withColumn("__place__", F.monotonically_increasing_id()).withColumn("shard", aim("__place__"))
     rows = rows.repartitionById(parts, F.floor(F.col("shard") / per).cast("int"))
