@@ -5,23 +5,29 @@ or language may change with it). Each side is a signed row, minus the old and pl
 and tokenizer version before they are stored, so a batch is as small as the number of groups that it touches. Totals are the sum of all
 committed batches: additive, and in any order.
 
-A batch is committed once: its sums are written to a folder of their own, then one file, named by the batch and made by an atomic
-create-only call, names that folder. A batch committed before changes nothing; a writer that died leaves a folder that no reader sees, and
-its batch can be run again. `compact` replaces the batches up to now by one base, by the same kind of commit.
-
-Defined results: null source, language and text are values (a null text has 0 tokens). Repeated change rows count each: a change table
-holds each change once. Groups whose documents and tokens both come to 0 are left out of totals. An empty batch commits and changes
-nothing. Other columns are ignored, also such as clash with the output's names.
+A batch is committed once: its sums are written to a folder of their own, then one file that names that folder gets the batch's name, by
+a move that an existing file refuses (a hard link on a local disk; elsewhere a rename without overwriting, which is atomic on HDFS and as
+good as the file system's promise on others). A batch committed before changes nothing; a writer that died leaves a folder that no reader
+sees, and its batch can be run again. `compact` publishes a base that stands for the batches up to now, by the same kind of commit, under
+a name that follows from them. Nothing is removed, and readers take of bases that overlap only the one with more batches: compactors that
+run at the same time, or from an old listing, change no total.
+
+Defined results: null source, language and text are values (a null or empty text has 0 tokens). Texts of any length are counted whole.
+Repeated change rows count each: a change table holds each change once; so does each of repeated documents. `revisions` goes by doc_id:
+rows with a null doc_id can't be told apart and are in no revision. Groups whose documents and tokens both come to 0 are left out of
+totals. An empty batch or table commits and changes nothing. Other columns are ignored, also such as clash with the output's names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,19 +107,31 @@ class Rollup:
                     text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
                 finally:
                     stream.close()
-                if text:  # an empty one belongs to a writer that died between create and write
-                    found[s.getPath().getName()] = json.loads(text)
+                found[s.getPath().getName()] = json.loads(text)
         return found
 
     def _publish(self, name: str, entry: dict) -> bool:
-        """Write the commit file under a name of its own and rename it: the first one to arrive wins."""
+        """Write the commit file under a name of its own, then give it its name, unless another has it: the first one to arrive wins."""
+        jvm = self.spark.sparkContext._jvm
         fs, temp = hadoop_path(self.spark, f"{self.path}/staging/{uuid.uuid4().hex}")
         out = fs.create(temp, False)
         out.write(bytearray(json.dumps(entry).encode()))
         out.close()
         _, target = hadoop_path(self.spark, f"{self.path}/commits/{name}")
         fs.mkdirs(target.getParent())
-        if fs.exists(target) or not fs.rename(temp, target):
+        try:
+            if fs.getUri().getScheme() == "file":
+                at = lambda p: jvm.java.nio.file.Paths.get(p.toUri())
+                jvm.java.nio.file.Files.createLink(at(fs.makeQualified(target)), at(fs.makeQualified(temp)))
+                fs.delete(temp, False)
+            else:
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                none[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
+                conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(temp, target, none)
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
             fs.delete(temp, False)
             return False
         return True
@@ -130,13 +148,21 @@ class Rollup:
         return self._publish(batch_id, {"folder": folder})
 
     def _live(self) -> dict[str, dict]:
-        commits = self._commits()
-        gone = {b for e in commits.values() for b in e.get("replaces", ())} | {b for e in commits.values() for b in e.get("bases", ())}
-        return {k: e for k, e in commits.items() if k not in gone}
+        """The commits that make up the totals: bases that don't overlap, larger ones first, and the batches that none of them covers."""
+        commits, covered, live = self._commits(), set(), {}
+        for k, e in sorted(commits.items(), key=lambda x: (-len(x[1].get("replaces", ())), x[0])):
+            own = set(e.get("replaces", [k]))
+            if not own & covered:
+                covered |= own
+                live[k] = e
+        return live
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer_version, documents, tokens) of all committed batches."""
-        folders = [e["folder"] for e in self._live().values()]
+        return self._sum(self._live())
+
+    def _sum(self, live: dict[str, dict]) -> DataFrame:
+        folders = [e["folder"] for e in live.values()]
         rows = self.spark.read.schema(_SUMS).parquet(*folders) if folders else self.spark.createDataFrame([], _SUMS)
         return rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 or tokens <> 0")
 
@@ -145,8 +171,11 @@ class Rollup:
         live = self._live()
         if len(live) < 2:
             return False
+        return self._compact(live)
+
+    def _compact(self, live: dict[str, dict]) -> bool:
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        self.totals().coalesce(1).write.parquet(folder)
-        batches = [b for k, e in live.items() for b in (e.get("replaces") or [k])]
-        bases = [k for k, e in live.items() if e.get("replaces")]
-        return self._publish(f"base-{uuid.uuid4().hex}", {"folder": folder, "replaces": batches, "bases": bases})
+        self._sum(live).coalesce(1).write.parquet(folder)
+        batches = sorted(b for k, e in live.items() for b in e.get("replaces", [k]))
+        name = hashlib.sha256("\n".join(batches).encode()).hexdigest()
+        return self._publish(f"base-{name}", {"folder": folder, "replaces": batches})
