@@ -35,15 +35,15 @@ _LOW = U((1 << 21) - 1)
 _SEPARATOR = U(2**64 - 1)
 
 
-def suffix_array(word: np.ndarray, depth: int) -> np.ndarray:
-    """Places of word (uint64) in the order of the suffixes' first `depth` words at least; words compare by their upper 43 bits. Fewer than 2**21 words."""
+def suffix_array(word: np.ndarray, depth: int, done: int = 1) -> np.ndarray:
+    """Places of word (uint64) in the order of the suffixes' first `depth` words at least; words compare by their upper 43 bits, which hold
+    `done` places' worth. Fewer than 2**21 words."""
     n = len(word)
     if not n:
         return np.zeros(0, np.int64)
     packed = np.sort((word & ~_LOW) | np.arange(n, dtype=U))
     order = (packed & _LOW).astype(np.int64)
     fresh = np.concatenate(([True], (packed[1:] >> _PLACE) != (packed[:-1] >> _PLACE)))
-    done = 1
     while done < depth:
         first = np.flatnonzero(fresh)
         size = np.diff(np.append(first, n))
