@@ -2,19 +2,20 @@
 
 P(severity <= k) = logistic(theta_k - w.x): one weight vector for all grades, ordered thresholds. x holds log(1 + count) of the words
 and word beginnings (of PREFIXES bytes) that the labels single out, so that families of inflected words count as one, and the logarithm
-of the document's length, against which such counts are to be read. Labels say toxic or not; the grades of training are 0 for the others and 1 to 3 for toxic ones, by terciles
-of their evidence under a fit of toxic or not (1 where they use no chosen word). Words are chosen by the exact binomial tail of their
-document counts at a level of ALPHA over all that are tested.
+of the document's length, against which such counts are to be read. Labels say toxic or not; the grades of training are 0 for the others
+and 1 to 3 for toxic ones, by terciles of their evidence under a fit of toxic or not (1 where they use no chosen word). Features are
+chosen by the exact binomial tail of their document counts at a level of ALPHA over all that are tested, however many pass; the counts
+are a distributed aggregate, and only chosen features come to the driver.
 
-The model is fitted on at most TRAIN_ROWS labelled documents, the first by a hash of doc_id: a documented bound. In it, near copies
-(SimHash within its radius) of the same label carry one vote together, so that copies of a mislabelled document count once. Scoring covers
-every row and whole texts.
+The model is fitted on at most `rows` labelled documents (TRAIN_ROWS), the first by a hash of doc_id: a documented bound. In it, near
+copies (SimHash within its radius) of the same label carry one vote together, so that copies of a mislabelled document count once.
+Scoring covers every row and whole texts, of any length.
 
 Output: doc_id, grade (the likeliest), expected_severity (0 to 3), toxic_probability (of grade 1 or more), toxic (that is at least 1/2).
 
 Defined results: null, empty and wordless texts have x = 0, so the baseline's grade and probability. Repeated rows and null doc_ids get a
-row each. Labels that are null are ignored, repeated ones averaged. Without labels of both kinds the baseline is their share (0 without
-any). An empty table gives an empty result. Other columns are ignored.
+row each. Labels that are null are ignored, repeated ones averaged (a mean of 1/2 is toxic). Ties between grades go to the lower one. Without
+labels the baseline is not toxic. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from dataclasses import dataclass
 from math import exp, lgamma, log
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import ship, staged
 from . import simhash
 from . import textvec as tv
 from .quality import labelled_sample
@@ -36,7 +38,7 @@ U = np.uint64
 GRADES = 4
 TRAIN_ROWS = 6_000
 ALPHA = 0.01
-MOST_WORDS = 512
+LEAST_UNITS = 3
 PREFIXES = (4, 5, 6, 7)
 
 
@@ -150,68 +152,86 @@ def votes(fp: np.ndarray) -> np.ndarray:
     return group
 
 
-def train(rows: list[tuple[float, np.ndarray, np.ndarray, int]], group: np.ndarray) -> Model:
-    """rows: (label, distinct keys, counts, words) of each document; group: votes()."""
-    none = Model(np.zeros(0, U), np.zeros(1), np.array([30.0, 31.0, 32.0]))
-    if not len(rows):
-        return none
-    y = np.array([r[0] for r in rows]) >= 0.5
-    # near copies with the same label have one vote together
-    _, unit, votes_ = np.unique(group * 2 + y, return_inverse=True, return_counts=True)
-    weight = 1 / votes_[unit]
-    key = np.concatenate([r[1] for r in rows]).astype(U)
-    owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    word, at = np.unique(key, return_inverse=True)
-    pair = np.unique(at * np.int64(len(votes_)) + unit[owner])
-    of_word, of_unit = pair // len(votes_), pair % len(votes_)
-    bad = np.zeros(len(votes_), bool)
-    bad[unit] = y
-    df = np.bincount(of_word, minlength=len(word))
-    toxic = np.bincount(of_word, bad[of_unit], len(word)).astype(int)
-    rate = bad.mean()
-    tested = np.flatnonzero(df >= 3)
-    level = ALPHA / max(1, len(tested))
-    likely = tested[toxic[tested] > df[tested] * rate]
-    tail = np.array([binomial_tail(toxic[i], df[i], rate) for i in likely])
-    chosen = likely[np.argsort(tail, kind="stable")][: int((tail <= level).sum())][:MOST_WORDS] if len(likely) else likely
-    keys = np.sort(word[chosen])
-    counts = np.zeros((len(rows), len(keys)))
-    if len(keys):
-        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = keys[place] == key
-        counts[owner[hit], place[hit]] = np.concatenate([r[2] for r in rows])[hit]
-    x = np.log1p(np.column_stack([counts, [r[3] for r in rows]]))
+def train(keys: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
+    """x: the features of each training row, of the keys and the length; y: toxic or not."""
     # severity of toxic rows: terciles of the evidence by a fit of toxic or not
     evidence = x @ fit_ordinal(x, y.astype(int), weight, grades=2)[0]
-    some = evidence[y & (counts.sum(1) > 0)]
-    cut = np.quantile(some, [1 / 3, 2 / 3]) if len(some) else np.array([np.inf, np.inf])
-    grade = np.where(y, 1 + ((evidence > cut[0]) & (counts.sum(1) > 0)).astype(int) + ((evidence > cut[1]) & (counts.sum(1) > 0)), 0)
-    w, theta = fit_ordinal(x, grade, weight)
-    return Model(keys, w, theta)
+    told = y & (x[:, :-1].sum(1) > 0)
+    cut = np.quantile(evidence[told], [1 / 3, 2 / 3]) if told.any() else np.array([np.inf, np.inf])
+    grade = y.astype(int) + (told & (evidence > cut[0])) + (told & (evidence > cut[1]))
+    return Model(keys, *fit_ordinal(x, grade, weight))
 
 
-def _training_rows(batches):
+def _prints(batches):
     for b in batches:
-        fp, has = simhash.fingerprints(b.column("text"))
-        row, key, times, size = sparse(b.column("text"))
-        off = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(off), pa.array(x.astype(k))) for x, k in ((key, np.int64), (times, np.int32))]
-        cols = [b.column("y"), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64)), *lists, pa.array(size.astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(cols, ["y", "h0", "h1", "keys", "counts", "words"])
+        fp, _ = simhash.fingerprints(b.column("text"))
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("y"), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64))], ["row", "y", "h0", "h1"])
+
+
+def _unit_keys(ids: np.ndarray, unit: np.ndarray, bad: np.ndarray):
+    """Rows (key, unit, bad): the features of each vote."""
+
+    def run(batches):
+        for b in batches:
+            of = unit[np.searchsorted(ids, b.column("row").to_numpy())]
+            row, key, _, _ = sparse(b.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(of[row].astype(np.int32)), pa.array(bad[of[row]])], ["key", "unit", "bad"])
+
+    return run
+
+
+def _training_rows(model: Model):
+    def run(batches):
+        for b in batches:
+            x = model.features(b.column("text"))
+            row, place = np.nonzero(x)
+            off = pa.array(np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(off, pa.array(v)) for v in (place.astype(np.int32), x[row, place])]
+            yield pa.RecordBatch.from_arrays([b.column("row"), *lists], ["row", "place", "value"])
+
+    return run
+
+
+def chosen_keys(sample: DataFrame, ids: np.ndarray, unit: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """The sorted keys that toxic units use more often than chance explains."""
+    rate = float(bad.mean())
+    # one exchange: units of a key are distinct, then counted, where the key is
+    pairs = sample.select("row", "text").mapInArrow(_unit_keys(ids, unit, bad), "key long, unit int, bad boolean").repartition("key").distinct()
+    tested = staged(pairs.groupBy("key").agg(F.count("*").alias("df"), F.count_if("bad").alias("toxic")).where(F.col("df") >= LEAST_UNITS), "toxicity-features")
+    level = ALPHA / max(1, tested.count())
+
+    @F.pandas_udf("boolean")
+    def passes(df: pd.Series, toxic: pd.Series) -> pd.Series:
+        return pd.Series([binomial_tail(int(k), int(n), rate) <= level for n, k in zip(df, toxic)])
+
+    got = tested.where(F.col("toxic") > F.col("df") * rate).where(passes("df", "toxic")).select("key").toArrow()
+    return np.sort(got.column("key").to_numpy().astype(np.int64)).view(U)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """The model for `labels.toxic`, from at most `rows` labelled documents of docs."""
     ship(docs.sparkSession)
     lower = docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("text"))
-    got = labelled_sample(lower, labels, "toxic", rows).mapInArrow(_training_rows, "y double, h0 long, h1 long, keys array<long>, counts array<int>, words long")
-    t = got.toArrow().sort_by([("h0", "ascending"), ("h1", "ascending"), ("y", "ascending")]).combine_chunks()
-    fp = np.stack([t.column(c).to_numpy().astype(np.int64).view(U) for c in ("h0", "h1")], 1)
-    keys, counts = (t.column(c).combine_chunks() for c in ("keys", "counts"))
-    at = keys.offsets.to_numpy() if len(keys) else np.zeros(1, np.int32)
-    flat = [x.values.to_numpy() if len(x) else np.zeros(0, np.int64) for x in (keys, counts)]
-    parts = [(y, flat[0][i:j], flat[1][i:j], n) for y, n, i, j in zip(t.column("y").to_pylist(), t.column("words").to_pylist(), at[:-1], at[1:])]
-    return train(parts, votes(fp))
+    sample = staged(labelled_sample(lower, labels, "toxic", rows).withColumn("row", F.monotonically_increasing_id()), "toxicity-sample")
+    t = sample.mapInArrow(_prints, "row long, y double, h0 long, h1 long").toArrow().sort_by([(c, "ascending") for c in ("h0", "h1", "y", "row")])
+    if not len(t):
+        return Model(np.zeros(0, U), np.zeros(1), np.array([30.0, 31.0, 32.0]))
+    ids, y = t.column("row").to_numpy(), t.column("y").to_numpy() >= 0.5
+    # near copies with the same label have one vote together
+    group = votes(np.stack([t.column(c).to_numpy().astype(np.int64).view(U) for c in ("h0", "h1")], 1))
+    _, unit, size = np.unique(group * 2 + y, return_inverse=True, return_counts=True)
+    bad = np.zeros(len(size), bool)
+    bad[unit] = y
+    order = np.argsort(ids)
+    ids, unit, y = ids[order], unit[order], y[order]
+    keys = chosen_keys(sample, ids, unit, bad)
+    model = Model(keys, np.zeros(len(keys) + 1), np.zeros(GRADES - 1))
+    got = sample.select("row", "text").mapInArrow(_training_rows(model), "row long, place array<int>, value array<double>").toArrow().combine_chunks()
+    x = np.zeros((len(ids), len(keys) + 1))
+    at = np.searchsorted(ids, got.column("row").to_numpy())
+    place, value = (got.column(c).combine_chunks() for c in ("place", "value"))
+    x[np.repeat(at, np.diff(place.offsets.to_numpy())), place.flatten().to_numpy()] = value.flatten().to_numpy()
+    return train(keys, x, y, 1 / size[unit])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
