@@ -128,14 +128,56 @@ def test_scan_equals_a_plain_walk_and_finds_planted_secrets(spark, docs, rows, g
     assert not any(flags[i] for i in range(len(fresh), len(fresh) + len(plain)))
 
 
+def test_long_candidates_equal_a_plain_walk_and_are_quick(grammar):
+    import time
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a, n in ((credentials.SYMBOLS, 900), (credentials.SYMBOLS[:62], 1500), ("0123456789abcdef", 257), ("x", 5000), ("ab", 256))]
+    codes = np.array([credentials._INDEX[c] for t in texts for c in t])
+    for t, best, own, plain in zip(texts, *grammar.score(codes, np.array([len(t) for t in texts]))):
+        assert (grammar.names[best], round(own, 6), round(plain, 6)) == (lambda a, b, c: (a, round(b, 6), round(c, 6)))(*_plain_score(grammar, t))
+    long = np.array(rng.choices(range(64), k=1_000_000))
+    began = time.process_time()
+    grammar.score(long, np.array([len(long)]))
+    assert time.process_time() - began < 2
+
+
+def test_inference_keeps_what_a_prefix_tree_counts():
+    rng = random.Random(6)
+    words = tuple(sorted("".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(300)))
+    move, bits = credentials.infer(words, alpha=1 - 1e-12)  # hardly anything merges
+    for w in set(words):
+        q = 0
+        for i, c in enumerate(w):
+            n = sum(x[: i + 1] == w[: i + 1] for x in words) / sum(x[:i] == w[:i] and len(x) > i for x in words)
+            if len(move) > 20:  # still the tree: shares are those of the words themselves
+                assert np.isclose(bits[q, credentials._INDEX[c]], np.log2((1 - credentials.SMOOTH) * n + credentials.SMOOTH / credentials._N))
+            q = move[q, credentials._INDEX[c]]
+    one, _ = credentials.infer(words, alpha=1e-300)  # everything is compatible
+    assert len(one) == 1
+
+
+def test_secrets_of_awkward_rows(awkward, empty):
+    g = credentials.fit(awkward)
+    out = credentials.scan(awkward, g).collect()
+    assert [(r.doc_id, r.start, r.length) for r in out] == [(6, 0, 300_000)]
+    assert credentials.scan(empty, credentials.fit(empty)).count() == 0
+    twice = credentials.scan(awkward.where("doc_id = 6").union(awkward.where("doc_id = 6")), g)
+    assert twice.count() == 2 and twice.distinct().count() == 1
+
+
 # --- sharding
 
 
 def test_matrix_has_exact_sums_and_the_right_law():
     before, sizes = np.concatenate(([0], np.cumsum([5, 0, 9, 13, 7]))), np.array([10, 20, 4])
-    m = np.array([sharding.matrix_row(i, before, sizes, 3) for i in range(5)])
+    def row(i, seed):
+        shard, n = sharding.matrix_row(i, before, sizes, seed)
+        return np.bincount(shard, n, 3).astype(int)
+
+    m = np.array([row(i, 3) for i in range(5)])
     assert m.sum(0).tolist() == sizes.tolist() and m.sum(1).tolist() == [5, 0, 9, 13, 7]
-    draws = np.array([sharding.matrix_row(2, before, sizes, s)[1] for s in range(3000)])
+    draws = np.array([row(2, s)[1] for s in range(3000)])
     assert abs(draws.mean() - 9 * 20 / 34) < 0.1
     var = 9 * (20 / 34) * (14 / 34) * (25 / 33)
     assert abs(draws.var() - var) < 0.25
@@ -147,6 +189,26 @@ def test_big_populations_follow_the_law():
     assert abs(x.mean() - 300) < 3 and abs(x.std() - 14.5) < 2.5
 
 
+def test_draws_by_halves_follow_the_law():
+    columns = np.array([2 * 10**9, 10**9, 0, 10**9])
+    x = np.array([sharding.draw(400, columns, np.random.default_rng(i)) for i in range(500)])
+    assert (x.sum(1) == 400).all() and (x[:, 2] == 0).all() and np.abs(x.mean(0) - [200, 100, 0, 100]).max() < 2.5
+
+
+def test_a_row_of_very_many_shards_is_quick():
+    import time
+
+    before, sizes = np.arange(1001) * 8192, np.full(1_024_000, 8)
+    began = time.process_time()
+    shard, n = sharding.matrix_row(500, before, sizes, 1)
+    assert n.sum() == 8192 and (np.diff(shard) > 0).all() and time.process_time() - began < 3
+
+
+def test_tasks_do_not_change_the_layout(spark, docs):
+    out = lambda **k: sorted((r.doc_id, r.shard, r.position) for r in sharding.shuffle(docs, shard_rows=20, **k).select("doc_id", "shard", "position").collect())
+    assert out() == out(most_tasks=3)
+
+
 def test_shuffle_is_a_permutation_with_exact_sizes(spark, docs, awkward, empty):
     out = sharding.shuffle(docs, shard_rows=60).select("doc_id", "shard", "position").collect()
     assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in docs.select("doc_id").collect())
@@ -257,6 +319,32 @@ def test_rollup_equals_a_recount_and_commits_once(spark):
         r.commit("../x", rollup.inserts(one, "v1"))
 
 
+def test_compactors_at_the_same_time_change_no_total(spark):
+    r = rollup.Rollup.scratch(spark)
+    one = spark.createDataFrame([(1, "a", "en", 5), (2, "a", "en", 7)], "doc_id long, source string, lang string, n_tokens long")
+    total = lambda: [(x.documents, x.tokens) for x in r.totals().collect()]
+    for b in ("b1", "b2"):
+        r.commit(b, rollup.inserts(one, "v1"))
+    old = r._live()
+    assert r._compact(old) and not r._compact(old) and total() == [(4, 24)]  # the same batches: the same base
+    r.commit("b3", rollup.inserts(one, "v1"))
+    assert total() == [(6, 36)] and r.compact() and total() == [(6, 36)]
+    assert r._compact({"b2": old["b2"], "b3": r._commits()["b3"]}) and total() == [(6, 36)]  # overlaps a larger base
+    r.commit("b4", rollup.deletes(one, "v1"))
+    assert total() == [(4, 24)] and not r.commit("b1", rollup.inserts(one, "v1"))
+
+
+def test_token_counts_of_awkward_rows(spark, awkward, empty):
+    got = rollup.count_tokens(awkward)
+    enc = bpe.engine(bpe.read_vocabulary(bpe.VOCABULARY)).encoding
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got.where("doc_id is null or doc_id <> 6").collect()) == sorted((str(d), len(enc.encode_ordinary(t or ""))) for d, t, *_ in AWKWARD if d != 6)
+    assert got.where("doc_id = 6").first().n_tokens > 0 and got.columns == ["doc_id", "source", "lang", "n_tokens"]
+    r = rollup.Rollup.scratch(spark)
+    assert r.commit("all", rollup.inserts(got, "v")) and r.commit("none", rollup.inserts(rollup.count_tokens(empty), "v"))
+    assert r.totals().agg(F.sum("documents")).first()[0] == len(AWKWARD)
+    assert rollup.revisions(got, rollup.count_tokens(awkward.withColumn("lang", F.lit("zz"))), "v").where("old_lang is null and new_tokens is null").count() == 0
+
+
 def test_token_counts_query_equals_a_recount(spark, rows):
     import re
 
@@ -382,17 +470,53 @@ def test_quality_of_awkward_rows(spark, awkward, empty, labels):
 # --- cross-parsing
 
 
-def test_parses_equal_plain_ones(rows):
+def _automaton(text):
+    """A suffix automaton as dicts."""
+    nxt, link, length, last = [{}], [-1], [0], 0
+    for c in text:
+        cur = len(nxt)
+        nxt.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and c not in nxt[p]:
+            nxt[p][c] = cur
+            p = link[p]
+        if p >= 0:
+            q = nxt[p][c]
+            if length[p] + 1 == length[q]:
+                link[cur] = q
+            else:
+                twin = len(nxt)
+                nxt.append(nxt[q].copy())
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and nxt[p].get(c) == q:
+                    nxt[p][c] = twin
+                    p = link[p]
+                link[q] = link[cur] = twin
+        last = cur
+    return nxt
+
+
+def _walk(nxt, z):
+    n, state = 0, 0
+    for c in z:
+        to = nxt[state].get(c)
+        if to is None:
+            n += state != 0
+            to = nxt[0].get(c)
+            n += to is None
+        state = to or 0
+    return n + (state != 0)
+
+
+def test_parses_equal_a_suffix_automaton(rows):
     ref = rows[0][1][:3000]
-    root = crossparse.automaton(ref)
-    for r in rows[1:12]:
-        z, i, n = r[1][:1500], 0, 0
-        while i < len(z):
-            m = 1
-            while i + m <= len(z) and z[i : i + m] in ref:
-                m += 1
-            i, n = i + max(1, m - 1), n + 1
-        assert crossparse.cross_phrases(root, z) == n
+    known, nxt = crossparse.Reference([ref], [None], [False]), _automaton(ref)
+    texts = [r[1] for r in rows[1:40] if r[1]] + [ref, "\x00", "語"]
+    assert known.phrases([None] * len(texts), texts) == [_walk(nxt, z) for z in texts]
+    for z in texts[:12]:
         seen, part, own = set(), "", 0
         for c in z:
             part += c
@@ -400,14 +524,84 @@ def test_parses_equal_plain_ones(rows):
                 seen.add(part)
                 part, own = "", own + 1
         assert crossparse.self_phrases(z) == own + bool(part)
-    crossparse.release(root)
+
+
+def _greedy(z, texts):
+    i = n = 0
+    while i < len(z):
+        m = 0
+        for t in texts:
+            while i + m < len(z) and z[i : i + m + 1] in t:
+                m += 1
+        i, n = i + max(1, m), n + 1
+    return n
+
+
+def test_parses_of_texts_with_owners_in_parts_and_segments(monkeypatch):
+    rng = random.Random(1)
+    for _ in range(40):
+        alphabet = rng.choice(["ab", "abc\0", "abcdefghij é日", "".join(chr(300 + i) for i in range(400))])
+        texts = list({"".join(rng.choice(alphabet) for _ in range(rng.randint(1, 200))) for _ in range(rng.randint(1, 12))})
+        owners = [None if rng.random() < 0.2 else i for i in range(len(texts))]
+        monkeypatch.setattr(crossparse, "PART", rng.choice([250, 700, (1 << 21) - 2]))
+        monkeypatch.setattr(crossparse, "SEGMENT", rng.choice([7, 50, 2048]))
+        asked = list(enumerate(texts)) + [(99, "".join(rng.choice(alphabet + "Z") for _ in range(rng.randint(1, 300)))) for _ in range(8)] + [(98, texts[0])]
+        got = crossparse.Reference(texts, owners, [False] * len(texts)).phrases([d for d, _ in asked], [z for _, z in asked])
+        for (d, z), n in zip(asked, got):
+            others = [t for t, o in zip(texts, owners) if o is None or o != d or t != z]
+            assert n == (_greedy(z, others) if others else None)
+
+
+def _expected(rows, good, cells=lambda lang: 1):
+    """Greedy phrases of each row against all other good texts of its language in its cell."""
+    sig = crossparse.signature(pa.array([r[1] for r in rows], pa.string())).tolist()
+    place = [(r[2], s % cells(r[2])) for r, s in zip(rows, sig)]
+    out = {}
+    for i, (d, z, *_) in enumerate(rows):
+        others = [r[1] for j, r in enumerate(rows) if r[0] in good and r[1] and place[j] == place[i] and not (r[0] == d and r[1] == z)]
+        out[d] = _greedy(z, others) if z and others else None
+    return out
+
+
+def test_cross_parse_equals_brute_force_over_cells(spark, docs, labels, rows, monkeypatch):
+    some = [(d, t[:1500], lang) for d, t, lang, _ in rows] + [(10**6 + i, rows[i][1][:1500], rows[i][2]) for i in range(5)]
+    df = spark.createDataFrame(some, "doc_id long, text string, lang string")
+    good = {r.doc_id for r in labels.where("quality = 1 and coalesce(toxic, 0) = 0").collect()}
+    score = lambda **k: {r.doc_id: r.cross_phrases for r in crossparse.score(df, labels, **k).collect()}
+    want = _expected(some, good)
+    assert score() == want
+    monkeypatch.setattr(crossparse, "LEAST_TEXTS", 4)
+    monkeypatch.setattr(crossparse, "GROUP", 5_000)  # several groups share a cell
+    used = {}
+    for d, t, lang in some:
+        if d in good and t:
+            used.setdefault(lang, set()).add(t)
+    shingles = {k: len(set(crossparse.signature(pa.array(sorted(v))).tolist())) for k, v in used.items()}
+    cells = lambda lang: max(1, min(-(-sum(map(len, used.get(lang, ()))) // 4000), shingles.get(lang, 0) // 4))
+    assert max(map(cells, used)) > 1 and score(cell=4000) == _expected(some, good, cells)
+
+
+def test_long_reference_texts_are_dealt_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(crossparse, "PIECE", 500)
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice(["one", "two", "three", "four", "five", "six"]) for _ in range(n))
+    rows = [(1, text(600), "en"), (2, text(50), "en"), (3, text(700), "en"), (4, "only its own " * 100, "de"), (5, None, None)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1, 0) for i in (1, 2, 4)], "doc_id long, quality int, toxic int")
+    cut = [rows[0][1][i : i + 500] for i in range(0, len(rows[0][1]), 500)]
+    got = {r.doc_id: r.cross_phrases for r in crossparse.score(df, labels).collect()}
+    assert got == {1: _greedy(rows[0][1], [rows[1][1]]), 2: _greedy(rows[1][1], cut), 3: _greedy(rows[2][1], [*cut, rows[1][1]]), 4: None, 5: None}
+
+
+def test_copies_share_a_cell():
+    a = " ".join(f"w{i % 37} v{i}" for i in range(300))
+    s = crossparse.signature(pa.array([a, a, a + " and a little more", "other", None, ""]))
+    assert s[0] == s[1] == s[2] and s[3] not in (0, s[0]) and s[4] == s[5] == 0
 
 
 def test_cross_parse_tells_languages_and_junk_apart(spark, docs, labels, awkward, empty):
-    out = crossparse.score(docs, labels, cell=20_000).collect()
-    assert len(out) == docs.count()
     junk = spark.createDataFrame([(10**9 + i, "".join(random.Random(i).choice("qwxzkj#@") for _ in range(2000)), "en", "z", 2000) for i in range(5)], SCHEMA)
-    both = crossparse.score(docs.unionByName(junk), labels, cell=20_000).collect()
+    both = crossparse.score(docs.unionByName(junk), labels).collect()
+    assert len(both) == docs.count() + 5
     good = [r.relative_entropy for r in both if r.lang == "en" and r.doc_id < 10**9 and r.n_chars > 500]
     bad = [r.relative_entropy for r in both if r.doc_id >= 10**9]
     assert min(bad) > np.median(good)
@@ -554,6 +748,75 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(0 <= r.expected_severity <= 3 for r in out)
 
 
+def _plain_features(text):
+    """Words and beginnings of longer words, by count."""
+    import re
+
+    c = Counter()
+    for w in re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").lower().encode()):
+        c[(0, w)] += 1
+        for k in toxicity.PREFIXES:
+            if len(w) > k:
+                c[(k, w[:k])] += 1
+    return c
+
+
+def test_features_equal_plain_counts():
+    rng = random.Random(4)
+    vocabulary = ["hate", "hateful", "hatefully", "kills", "killing", "émigré", "a", "x1", "日本語の文"]
+    texts = [None, ""] + [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40))) for _ in range(50)]
+    col = pa.array(texts, pa.string())
+    row, key, times, size = toxicity.sparse(col)
+    want = [_plain_features(t) for t in texts]
+    assert size.tolist() == [sum(n for (k, _), n in c.items() if not k) for c in want]
+    for i, c in enumerate(want):
+        assert sorted(times[row == i].tolist()) == sorted(c.values())
+    keys = np.unique(key)
+    assert len(keys) == len({f for c in want for f in c})
+    x = toxicity.Model(keys, np.zeros(len(keys) + 1), np.zeros(3)).features(col)
+    for i in range(len(texts)):
+        assert np.allclose(x[i, np.searchsorted(keys, key[row == i])], np.log1p(times[row == i])) and np.isclose(x[i, -1], np.log1p(size[i]))
+        assert (x[i, :-1] > 0).sum() == (row == i).sum()
+
+
+def test_chosen_features_equal_a_plain_count(spark):
+    from fractions import Fraction
+    from math import comb
+
+    rng = random.Random(5)
+    filler = lambda: " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randint(0, 400)}" for _ in range(30))
+    texts = [(i, t, y) for i, (t, y) in enumerate([(f"plain words {filler()}", 0) for i in range(60)] + [(f"awful words {filler()} awfully", 1) for i in range(20)])]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int"))
+    pdf = spark.createDataFrame([(t,) for _, t, _ in texts], "text string").toPandas()
+    fp, _ = simhash.fingerprints(pa.array(pdf.text))
+    order = sorted(range(len(texts)), key=lambda i: (*fp[i].view(np.int64).tolist(), texts[i][2]))
+    group = dict(zip(order, toxicity.votes(fp[order]).tolist()))
+    unit = {i: (group[i], texts[i][2]) for i in group}
+    seen = {}
+    for i, t, _ in texts:
+        for f in _plain_features(t):
+            seen.setdefault(f, set()).add(unit[i])
+    all_units = set(unit.values())
+    rate = Fraction(sum(y for _, y in all_units), len(all_units))
+    tested = {f: (len(u), sum(y for _, y in u)) for f, u in seen.items() if len(u) >= 3}
+    tail = lambda n, k: sum(comb(n, j) * rate**j * (1 - rate) ** (n - j) for j in range(k, n + 1))
+    want = {f for f, (n, k) in tested.items() if k > n * rate and tail(n, k) <= toxicity.ALPHA / len(tested)}
+    assert want and len(model.keys) == len(want)
+    probe = [w.decode() for k, w in want if not k]
+    x = model.features(pa.array(probe))
+    assert (x[:, :-1].sum(1) > 0).all()
+
+
+def test_scores_equal_plain_ones():
+    rng = np.random.default_rng(9)
+    x, w, theta = rng.random((20, 4)), rng.normal(size=4), np.array([-0.5, 0.2, 1.0])
+    p = toxicity.Model(np.zeros(3, np.uint64), w, theta).probabilities(x)
+    for row, got in zip(x, p):
+        below = [1 / (1 + np.exp(-(t - sum(a * b for a, b in zip(row, w))))) for t in theta] + [1.0]
+        assert np.allclose(got, np.diff([0.0, *below]))
+
+
 def test_ordinal_fit_recovers_order_and_shares_weights():
     rng = np.random.default_rng(8)
     x = rng.poisson(1.0, (4000, 3)).astype(float)
@@ -573,26 +836,6 @@ def test_toxicity_of_awkward_rows(awkward, empty, docs, labels):
     assert toxicity.score(empty, model).count() == 0
 
 
-def test_groups_that_share_a_cell_score_the_same(spark, docs, labels, monkeypatch):
-    score = lambda: {r.doc_id: r.relative_entropy for r in crossparse.score(docs, labels, cell=20_000).collect()}
-    want = score()
-    monkeypatch.setattr(crossparse, "GROUP", 5_000)
-    assert score() == want
-
-
-def test_cross_parse_scores_all_where_reference_is_scarce_or_long(spark):
-    part = [r.id for r in spark.range(400).where("pmod(xxhash64(id, 11), 8) = 0").collect()]
-    rows = [(i, "a plain text of some words " + str(i) * 5, lang) for i, lang in zip(range(400), 100 * ["one", "two", "long", None])]
-    rows += [(part[0], "only reference here", "one"), (part[0], "reference", "two"), (part[1], "more reference", "two")]
-    rows += [(part[2], "long text " * 30_000, "long"), (part[3], "short", "long"), (part[4], "none", None), (part[5], "lang", None)]
-    of = {k: [r for r in rows[400:] if r[2] == k] for k in ("one", "two", "long", None)}
-    rows = [r for r in rows[:400] if r[0] not in part] + rows[400:]
-    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1, 0) for i in part], "doc_id long, quality int, toxic int")
-    out = crossparse.score(docs, labels, cell=20_000).collect()
-    assert len(out) == len(rows) and all(of.values())
-    assert [(r.doc_id, r.lang) for r in out if r.relative_entropy is None] == [(part[0], "one")]
-
-
 def test_a_tiny_source_does_not_shrink_the_mix(spark):
     def kept(sources, budget=None):
         rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate((s, n) for s, (k, n) in sources.items() for _ in range(k))]
