@@ -1,18 +1,21 @@
 """Token alignment by edit distance.
 
 Unit costs; on ties a deletion beats an insertion beats a match or substitution, in the cell that is reached. Every cell carries the
-counts of its one predecessor, so the counts are those of the backtrace. Pairs go through one Arrow UDF, a numpy row at a time; `counts_native`
-does the same by higher-order functions in the JVM, which pays for pairs of a few tokens only.
+counts of its one predecessor, so the counts are those of the backtrace. Pairs go through one Arrow UDF, bit-parallel: a column of the
+matrix is two long integers, of the places where it rises and falls, so whole texts of thousands of tokens cost milliseconds.
+`counts_native` does the same by higher-order functions in the JVM, which pays for pairs of a few tokens only.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import ship
+
+BLOCK = 256
 COUNTS = T.StructType([T.StructField(c, T.IntegerType()) for c in ("dist", "cor", "sub", "del", "ins")])
 OPS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("op", "ref", "hyp")]))
 
@@ -48,73 +51,104 @@ def counts_native(ref: Column, hyp: Column) -> Column:
     return F.when(m == 0, _cell(n, zero, zero, n, zero)).when(n == 0, _cell(m, zero, zero, zero, m)).when(ref == hyp, _cell(zero, n, zero, zero, zero)).otherwise(full)
 
 
-def align_counts(ref: list, hyp: list) -> tuple[int, int, int, int, int]:
-    """(dist, cor, sub, del, ins) of two token lists, a numpy row at a time."""
-    n, m = len(ref), len(hyp)
-    codes = {t: i for i, t in enumerate(dict.fromkeys([*ref, *hyp]))}
-    r, h = np.array([codes[t] for t in ref], np.int64), np.array([codes[t] for t in hyp], np.int64)
-    j = np.arange(m + 1)
-    dist, count = j.copy(), np.zeros((4, m + 1), np.int64)  # cor, sub, del, ins
-    count[3] = j
-    for i in range(n):
-        hit = h == r[i]
-        down = dist + 1
-        cand = down.copy()
-        diag = dist[:-1] + ~hit
-        np.minimum(cand[1:], diag, out=cand[1:])
-        new = np.minimum.accumulate(cand - j) + j
-        is_del = down == new
-        is_ins = np.zeros(m + 1, bool)
-        is_ins[1:] = ~is_del[1:] & (new[:-1] + 1 == new[1:])
-        nc = count.copy()
-        nc[2] += 1
-        by_diag = np.flatnonzero(~is_del[1:] & ~is_ins[1:])
-        nc[:, by_diag + 1] = count[:, by_diag]
-        nc[0, by_diag + 1] += hit[by_diag]
-        nc[1, by_diag + 1] += ~hit[by_diag]
-        origin = np.maximum.accumulate(np.where(is_ins, 0, j))
-        nc = nc[:, origin]
-        nc[3] += j - origin
-        dist, count = new, nc
-    return int(dist[m]), *(int(x) for x in count[:, m])
+def _masks(ref: list) -> dict:
+    """For each token, the bits of its places in ref."""
+    at: dict = {}
+    for i, t in enumerate(ref):
+        at[t] = at.get(t, 0) | 1 << i
+    return at
 
 
-@F.pandas_udf(COUNTS)
-def _counts_arrow(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    rows = [(None,) * 5 if r is None or h is None else align_counts(list(r), list(h)) for r, h in zip(ref, hyp)]
-    return pd.DataFrame(rows, columns=["dist", "cor", "sub", "del", "ins"], dtype="Int32")
+def _column(pv: int, nv: int, hit: int, all_: int) -> tuple[int, int, int]:
+    """One column of the matrix as bits (Myers, Hyyro): (vertical +1, vertical -1, horizontal +1); bit i is row i + 1."""
+    d = (((hit & pv) + pv) ^ pv) | hit | nv
+    ph, nh = nv | (all_ & ~(d | pv)), d & pv
+    down = ph << 1 | 1
+    return (nh << 1 | (all_ & ~(d | down))) & all_, down & d & all_, ph
 
 
-def counts(ref: Column, hyp: Column) -> Column:
-    """dist, cor, sub, del, ins of two token arrays of any length, by the Arrow UDF; `counts_native` suits pairs of a few tokens."""
-    return _counts_arrow(ref, hyp)
+def distance(ref: list, hyp: list) -> int:
+    """Edit distance of two token lists: all rows of a column in a few operations on long integers."""
+    n = len(ref)
+    if not n:
+        return len(hyp)
+    at, all_ = _masks(ref), (1 << n) - 1
+    pv, nv = all_, 0
+    for t in hyp:
+        pv, nv, _ = _column(pv, nv, at.get(t, 0), all_)
+    return len(hyp) + pv.bit_count() - nv.bit_count()
 
 
 def align_ops(ref: list, hyp: list) -> list[tuple[str, str | None, str | None]]:
-    """The alignment itself: (op, ref token, hyp token), by the same tie order."""
+    """The alignment: (op, ref token, hyp token). Columns are kept every BLOCK hypothesis tokens and made again block by block from the end."""
     n, m = len(ref), len(hyp)
-    d = np.zeros((n + 1, m + 1), np.int32)
-    d[:, 0], d[0, :] = np.arange(n + 1), np.arange(m + 1)
-    j = np.arange(m + 1)
-    h = np.array([hash(t) for t in hyp], np.int64)
-    for i in range(1, n + 1):
-        cand = d[i - 1] + 1
-        np.minimum(cand[1:], d[i - 1, :-1] + (h != hash(ref[i - 1])), out=cand[1:])
-        d[i] = np.minimum.accumulate(cand - j) + j
-    out, i, k = [], n, m
-    while i or k:
-        if i and d[i, k] == d[i - 1, k] + 1:
+    at, all_ = _masks(ref), (1 << n) - 1
+    pv, nv, kept = all_, 0, []
+    for j, t in enumerate(hyp):
+        if j % BLOCK == 0:
+            kept.append((pv, nv))
+        pv, nv, _ = _column(pv, nv, at.get(t, 0), all_)
+    out, i, j, columns = [], n, m, []
+    while i and j:
+        if not columns:
+            pv, nv = kept.pop()
+            for t in hyp[len(kept) * BLOCK : j]:
+                pv, nv, ph = _column(pv, nv, at.get(t, 0), all_)
+                columns.append((pv, ph))
+        vertical, horizontal = columns[-1]
+        bit = i - 1
+        if vertical >> bit & 1:
             i -= 1
             out.append(("del", ref[i], None))
-        elif k and d[i, k] == d[i, k - 1] + 1:
-            k -= 1
-            out.append(("ins", None, hyp[k]))
+            continue
+        columns.pop()
+        j -= 1
+        if horizontal >> bit & 1:
+            out.append(("ins", None, hyp[j]))
         else:
-            i, k = i - 1, k - 1
-            out.append(("cor" if ref[i] == hyp[k] else "sub", ref[i], hyp[k]))
+            i -= 1
+            out.append(("cor" if ref[i] == hyp[j] else "sub", ref[i], hyp[j]))
+    out += [("del", ref[k], None) for k in range(i - 1, -1, -1)]
+    out += [("ins", None, hyp[k]) for k in range(j - 1, -1, -1)]
     return out[::-1]
 
 
+def align_counts(ref: list, hyp: list) -> tuple[int, int, int, int, int]:
+    """(dist, cor, sub, del, ins) of two token lists."""
+    if ref == hyp:
+        return 0, len(ref), 0, 0, 0
+    ops_ = [o for o, _, _ in align_ops(ref, hyp)]
+    cor = ops_.count("cor")
+    return len(ops_) - cor, cor, ops_.count("sub"), ops_.count("del"), ops_.count("ins")
+
+
+@F.pandas_udf(COUNTS)
+def _counts_arrow(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    rows = [(None,) * 5 if r is None or h is None else align_counts(r.tolist(), h.tolist()) for r, h in zip(ref, hyp)]
+    return pd.DataFrame(rows, columns=["dist", "cor", "sub", "del", "ins"], dtype="Int32")
+
+
+@F.pandas_udf(T.IntegerType())
+def _distance_arrow(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    return pd.Series([None if r is None or h is None else distance(r.tolist(), h.tolist()) for r, h in zip(ref, hyp)], dtype="Int32")
+
+
+def counts(ref: Column, hyp: Column) -> Column:
+    """dist, cor, sub, del, ins of two token arrays of any length; `counts_native` suits pairs of a few tokens."""
+    return _counts_arrow(ref, hyp)
+
+
+def distances(ref: Column, hyp: Column) -> Column:
+    """The edit distance alone."""
+    return _distance_arrow(ref, hyp)
+
+
+def spread(pairs, *keys: str):
+    """pairs over all shuffle partitions: alignment is much work for few bytes, which adaptive execution would put into one task."""
+    ship(pairs.sparkSession)
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 @F.pandas_udf(OPS)
 def ops(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None or h is None else [{"op": o, "ref": a, "hyp": b} for o, a, b in align_ops(list(r), list(h))] for r, h in zip(ref, hyp)])
+    return pd.Series([None if r is None or h is None else [{"op": o, "ref": a, "hyp": b} for o, a, b in align_ops(r.tolist(), h.tolist())] for r, h in zip(ref, hyp)])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens
-from ..functions.align import align_counts
+from ..functions.align import distance
 from ..runtime import ship
 
 
@@ -132,7 +132,7 @@ def cpwer(ref: DataFrame, hyp: DataFrame, tokenise=tokens.words) -> DataFrame:
             return pd.DataFrame(columns=["session", "errors", "length", "cpwer"])
         n = max(len(a), len(b))
         a, b = a + [[]] * (n - len(a)), b + [[]] * (n - len(b))
-        cost = np.array([[align_counts(x, y)[0] for y in b] for x in a], float)
+        cost = np.array([[distance(x, y) for y in b] for x in a], float)
         errors, length = int(sum(cost[i, j] for i, j in assignment(cost))), sum(map(len, a))
         return pd.DataFrame([[key[0], errors, length, errors / length if length else 0.0]], columns=["session", "errors", "length", "cpwer"])
 

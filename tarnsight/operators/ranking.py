@@ -68,7 +68,8 @@ def merged(*payloads: DataFrame, keys: list[str] = ("dataset", "metric"), overri
 
 
 def sampled(rows: DataFrame, by: list[str], k: int, seed: int = 0, key: str | None = None) -> DataFrame:
-    """min(k, n) rows of each group, drawn by a seeded hash."""
-    h = F.xxhash64(F.lit(seed), *(F.col(c) for c in ([key] if key else rows.columns)))
-    w = Window.partitionBy(*by).orderBy(h)
+    """min(k, n) rows of each group, drawn by a seeded MD5 of the key (of all columns without one); ties by those columns."""
+    names = [key] if key else rows.columns
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in names)))
+    w = Window.partitionBy(*by).orderBy(h, *names)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")

@@ -71,7 +71,7 @@ def s2tt(ref: DataFrame, hyp: DataFrame, language: str = "en", metric: str = "bl
         alignment.require_same_keys(*tables)
         rows = alignment.triples(src if src is not None else ref, ref, hyp)
         return _report(metrics.segment_mean(_provided(rows, provider, "key")), route, language)
-    pairs = alignment.inner_pairs(ref, hyp).withColumnRenamed("key", "id")
+    pairs = alignment.left_pairs(ref, hyp).withColumnRenamed("key", "id")  # a missing hypothesis is an empty one
     out = metrics.chrf(pairs) if route.metric == "chrf" else metrics.bleu(pairs, tokens.bleu_zh if language == "zh" else tokens.bleu_13a)
     return _report(out, route, language)
 

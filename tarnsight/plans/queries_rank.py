@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signal
 from ..operators import alignment, diarization, metrics, ranking
+from ..sources import keytext
 from .catalog import query, table
 
 
@@ -94,7 +95,7 @@ def sample_first_n(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey").limit(10)
 
 
-@query()
+@query("select doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by md5('1|' || doc_id), doc_id) as k from documents) where k <= 5")
 def random_sample_per_group(spark, sf_dir):
     """Five seeded random documents a language."""
     return ranking.sampled(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"], 5, 1, "doc_id")
@@ -113,10 +114,10 @@ def validation_summary(spark, sf_dir):
     return a.crossJoin(b).withColumn("complete", F.col("missing") == 0).select("expected", "provided", "missing", "repeated", "complete")
 
 
-@query("select count(*) filter (where t is null or trim(t) = '') as num_empty_text_rows, count(*) as num_rows from (select text as t from conversations)")
+@query("select count(*) filter (where turn % 5 <> 0) as num_rows, count(*) filter (where turn % 5 <> 0 and trim(coalesce(text, '')) = '') as num_empty_text_rows, count(*) filter (where turn % 5 = 0) as num_malformed_rows from conversations")
 def row_stats(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "conversations").agg(F.count_if(t.isNull() | (F.trim(t) == "")).alias("num_empty_text_rows"), F.count("*").alias("num_rows"))
+    value = F.concat(F.when(F.col("turn") % 5 == 0, F.lit("")).otherwise(F.concat_ws("|", "conv_id", "turn")), F.lit("\t"), F.coalesce(F.regexp_replace("text", r"\s+", " "), F.lit("")))
+    return keytext.statistics(keytext.parse(table(spark, sf_dir, "conversations").select(F.lit(0).alias("line_at"), value.alias("value"))))
 
 
 @query("select l_returnflag as dataset, count(*) as num_segments, round(avg(l_discount), 6) as score from lineitem group by 1")
@@ -158,14 +159,27 @@ def per_session_der_like(spark, sf_dir):
     return o.groupBy("user_id").agg(F.round(F.sum("overlap"), 3).alias("overlap"))
 
 
-@query()
+@query(
+    """with e as (select user_id::varchar as session, list_position(['click', 'signup', 'view'], event_type) as k, epoch_us(ts) / 1e6 as a from events where event_type in ('click', 'view', 'signup')),
+    r as (select session, k, a, a + 600 as b from e), h as (select session, k, a + 60 as a, b + 60 as b from r), m as (select distinct session, unnest([a, b]) as t from r),
+    t as (select distinct session, x from (select session, unnest([t, t - 0.25, t + 0.25]) as x from m union all select session, unnest([a, b]) from h)),
+    i as (select session, x as lo, lead(x) over (partition by session order by x) as hi from t),
+    w as (select i.session, lo, hi, (lo + hi) / 2 as mid, hi - lo as width from i where hi is not null and not exists (select 1 from m where m.session = i.session and abs((i.lo + i.hi) / 2 - m.t) < 0.25)),
+    x as (select w.session, w.mid, w.width, [bool_or(r.k = 1), bool_or(r.k = 2), bool_or(r.k = 3)] as r from w left join r on r.session = w.session and r.a <= w.mid and w.mid < r.b group by all),
+    y as (select w.session, w.mid, [bool_or(h.k = 1), bool_or(h.k = 2), bool_or(h.k = 3)] as h from w left join h on h.session = w.session and h.a <= w.mid and w.mid < h.b group by all),
+    z as (select session, width, list_transform(r, lambda v: coalesce(v, false)::int) as r, list_transform(h, lambda v: coalesce(v, false)::int) as h from x join y using (session, mid)),
+    s as (select session, sum(list_sum(r) * width) as scored, sum(greatest(list_sum(r) - list_sum(h), 0) * width) as missed, sum(greatest(list_sum(h) - list_sum(r), 0) * width) as fa, sum(least(list_sum(r), list_sum(h)) * width) as shared_time,
+      greatest(sum((r[1] * h[1] + r[2] * h[2] + r[3] * h[3]) * width), sum((r[1] * h[1] + r[2] * h[3] + r[3] * h[2]) * width), sum((r[1] * h[2] + r[2] * h[1] + r[3] * h[3]) * width), sum((r[1] * h[2] + r[2] * h[3] + r[3] * h[1]) * width), sum((r[1] * h[3] + r[2] * h[1] + r[3] * h[2]) * width), sum((r[1] * h[3] + r[2] * h[2] + r[3] * h[1]) * width)) as agreed from z group by session)
+    select session, round(scored, 2) as scored, round(missed, 2) as missed, round(fa, 2) as false_alarm, abs(round(shared_time - agreed, 2)) as confusion, round((missed + fa + shared_time - agreed) / scored, 4) as der from s"""
+)
 def diarization_error(spark, sf_dir):
     """Diarisation error of users' event types as speakers, shifted by a minute."""
     e = table(spark, sf_dir, "events").where("event_type in ('click', 'view', 'signup')")
     start = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     ref = e.select(F.col("user_id").cast("string").alias("session"), F.col("event_type").alias("speaker"), start.alias("start"), (start + 600).alias("end"))
     hyp = ref.select("session", F.upper("speaker").alias("speaker"), (F.col("start") + 60).alias("start"), (F.col("end") + 60).alias("end"))
-    return diarization.der(ref, hyp, collar=0.25)
+    d = diarization.der(ref, hyp, collar=0.25)
+    return d.select("session", *[F.abs(F.round(c, 2)).alias(c) for c in ("scored", "missed", "false_alarm", "confusion")], F.round("der", 4).alias("der"))
 
 
 @query()
@@ -186,7 +200,9 @@ def route_catalog(spark, sf_dir):
     return catalog(spark)
 
 
-@query()
+@query(
+    """select * from (values ('今年是二零二四年', '今年是2024年', '今年是2024年'), ('增长百分之十五', '增长15%', '增长15%'), ('4500亿元', '450000000000元', '450000000000元'), ('我们一起去三十二号', '我们一起去32号', '我们一起去32号'), ('我有Five apples', '我有five apples', '我有 5 apples')) as t("text", zh, mixed)"""
+)
 def canonical_itn_text(spark, sf_dir):
     """Spoken numbers and signs under the canonical chains."""
     from ..functions.spoken import chain
@@ -195,7 +211,9 @@ def canonical_itn_text(spark, sf_dir):
     return rows.select("text", chain("canonical")("text").alias("zh"), chain("canonical_mixed")("text").alias("mixed"))
 
 
-@query()
+@query(
+    """select * from (values ('twenty twenty four', '2024', 'two thousand and twenty-four'), ('one hundred and five dollars', '$105', '$one hundred and five'), ('three point one four', '3.14', 'three.fourteen'), ('twenty first', '21st', 'twenty-onest'), ('double five six', '556', 'five hundred and fifty-six'), ('two and a half', '2.5', 'two.five')) as t("text", written, again)"""
+)
 def english_numbers(spark, sf_dir):
     """Spelled English numbers."""
     from ..functions.spoken import chain

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import signal, text, tokens
-from ..operators import alignment, metrics
-from ..sources import structured
+from ..functions import align, signal, text, tokens
+from ..operators import alignment, metrics, predicates
+from ..sources import keytext, structured
 from .catalog import query, table
 
 # Edit distance of two token lists r and h of a relation p(key, r, h), row by row.
@@ -21,6 +21,21 @@ dp as (
   from dp join p on p.key = dp.key where dp.i < len(p.r)),
 dist as (select dp.key, line[len(line)] as d from dp join p on p.key = dp.key where dp.i = len(p.r))
 """
+# The same with the split of operations: a cell is one number of distance, correct, substituted, deleted and inserted tokens, 12 bits
+# each; of equal distances the deletion counts, then the insertion.
+_DIST, _COR, _SUB, _DEL, _INS = (1 << k for k in (48, 36, 24, 12, 0))
+_UP, _LEFT, _DIAG = f"(line[x[1] + 1] + {_DIST + _DEL})", f"(done[len(done)] + {_DIST + _INS})", f"(line[x[1]] + case when same[x[1]] then {_COR} else {_DIST + _SUB} end)"
+_CELL = f"case when {_UP} >> 48 <= least({_LEFT} >> 48, {_DIAG} >> 48) then {_UP} when {_LEFT} >> 48 <= {_DIAG} >> 48 then {_LEFT} else {_DIAG} end"
+_SPLIT_DP = f"""
+dps as (
+  select key, 0 as i, list_transform(range(0, len(h) + 1), lambda j: (j * {_DIST + _INS})::bigint) as line from p
+  union all
+  select key, i, list_reduce(list_transform(range(1, len(same) + 1), lambda j: [j::bigint]), lambda done, x: list_append(done, {_CELL}), [(i * {_DIST + _DEL})::bigint]) as line
+  from (select dps.key, dps.i + 1 as i, dps.line, list_transform(p.h, lambda t: t = p.r[dps.i + 1]) as same from dps join p on p.key = dps.key where dps.i < len(p.r))),
+split as (select dps.key, line[len(line)] >> 48 as d, (line[len(line)] >> 36) & 4095 as cor, (line[len(line)] >> 24) & 4095 as sub, (line[len(line)] >> 12) & 4095 as del, line[len(line)] & 4095 as ins, len(p.r) as n from dps join p on p.key = dps.key where dps.i = len(p.r))
+"""
+_RATES = """num_pairs, num_tokens, cor, sub, del, ins, num_wrong, round((sub + del + ins)::double / num_tokens, 6) as score, round(num_wrong::double / num_pairs, 6) as sentence_error_rate
+from (select count(*) as num_pairs, sum(n)::bigint as num_tokens, sum(cor)::bigint as cor, sum(sub)::bigint as sub, sum(del)::bigint as del, sum(ins)::bigint as ins, count(*) filter (where d > 0) as num_wrong from split)"""
 _SPLIT = r"list_filter(string_split_regex(trim(regexp_replace({0}, '[ \t\r\n]+', ' ', 'g')), ' '), lambda w: w <> '')"
 
 
@@ -29,19 +44,19 @@ def _turns(spark, sf_dir):
     key = F.concat_ws("|", "conv_id", "turn")
     after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     paired = c.withColumn("hyp", after).where("role = 'user'")
-    return paired.select(key.alias("key"), "conv_id", F.col("text").alias("ref"), "hyp")
+    return align.spread(paired.select(key.alias("key"), "conv_id", F.col("text").alias("ref"), "hyp"), "key")
 
 
 _TURNS = f"""
 with recursive t as (select conv_id, turn, role, text, lead(text) over (partition by conv_id order by turn) as nxt from conversations),
-p as (select conv_id || '|' || turn as key, conv_id, ({_SPLIT.format("upper(coalesce(text, ''))")})[1:60] as r, ({_SPLIT.format("upper(coalesce(nxt, ''))")})[1:60] as h from t where role = 'user'),
+p as (select conv_id || '|' || turn as key, conv_id, {_SPLIT.format("upper(coalesce(text, ''))")} as r, {_SPLIT.format("upper(coalesce(nxt, ''))")} as h from t where role = 'user'),
 {_DP}
 """
 
 
 @query(_TURNS + "select count(*) as num_pairs, sum(len(r))::bigint as num_tokens, sum(d)::bigint as errors, round(sum(d)::double / sum(len(r)), 6) as score from p join dist using (key)")
 def wer_conversation_turns(spark, sf_dir):
-    """Word error rate of each user turn against the turn after it. The oracle still cuts both to 60 words."""
+    """Word error rate of each user turn against the turn after it."""
     r = metrics.error_rate(metrics.scored(_turns(spark, sf_dir)))
     return r.select("num_pairs", "num_tokens", (F.col("sub") + F.col("del") + F.col("ins")).alias("errors"), F.round("score", 6).alias("score"))
 
@@ -54,9 +69,13 @@ def session_macro_vs_micro(spark, sf_dir):
     return per.agg(F.round(F.avg("score"), 6).alias("macro"), F.round(F.sum(errors).cast("double") / F.sum("num_tokens"), 6).alias("micro"), F.count("*").alias("sessions"))
 
 
-def _capped(spark, sf_dir, n=60):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.slice(tokens.words(F.col("text")), 1, n).alias("r"))
-    return d.withColumn("h", F.lead("r").over(Window.partitionBy("lang").orderBy("doc_id"))).where("h is not null")
+def _neighbouring_documents(spark, sf_dir, n=None):
+    """Each document's words r and the next one's h within a language: all, or the first n of each."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", tokens.words(F.col("text")).alias("r"))
+    d = d.withColumn("r", F.slice("r", 1, n)) if n else d
+    p = d.withColumn("h", F.lead("r").over(Window.partitionBy("lang").orderBy("doc_id"))).where("h is not null")
+    p = align.spread(p, "doc_id").select("lang", F.size("r").alias("n"), align.distances(F.col("r"), F.col("h")).alias("d"))
+    return p.groupBy("lang").agg(F.count("*").alias("pairs"), F.sum("n").alias("num_tokens"), F.sum("d").alias("errors"), F.round(F.sum("d").cast("double") / F.sum("n"), 6).alias("score"))
 
 
 @query(
@@ -65,57 +84,86 @@ def _capped(spark, sf_dir, n=60):
     select lang, count(*) as pairs, sum(len(r))::bigint as num_tokens, sum(d)::bigint as errors, round(sum(d)::double / sum(len(r)), 6) as score from p join dist using (key) group by lang"""
 )
 def wer_by_lang(spark, sf_dir):
-    """Error rate between the openings of neighbouring documents, by language."""
-    from ..functions.align import counts
+    """Error rate between the openings (60 words, as the survey sets it) of neighbouring documents, by language."""
+    return _neighbouring_documents(spark, sf_dir, 60)
 
-    p = _capped(spark, sf_dir).select("lang", F.size("r").alias("n"), counts(F.col("r"), F.col("h"))["dist"].alias("d"))
-    return p.groupBy("lang").agg(F.count("*").alias("pairs"), F.sum("n").alias("num_tokens"), F.sum("d").alias("errors"), F.round(F.sum("d").cast("double") / F.sum("n"), 6).alias("score"))
+
+@query()
+def wer_by_lang_whole(spark, sf_dir):
+    """Error rate between whole neighbouring documents, by language."""
+    return _neighbouring_documents(spark, sf_dir)
 
 
 @query(
-    r"""with b as (select item_id, regexp_replace(text, '[^\x00-\x7F]', '', 'g') as t from benchmark), p as (select item_id, t, lead(t) over (order by item_id) as h from b)
+    """with a as (select list(c) as l from (select distinct unnest(string_split(text, '')) as c from benchmark)),
+    b as (select item_id, array_to_string(list_transform(string_split(text, ''), lambda c: chr(list_position(l, c)::int)), '') as t from benchmark, a),
+    p as (select item_id, t, lead(t) over (order by item_id) as h from b)
     select item_id, levenshtein(t, h)::int as errors, length(t)::int as n, round(levenshtein(t, h)::double / length(t), 6) as score from p where h is not null and length(t) > 0"""
 )
 def cer_benchmark(spark, sf_dir):
-    """Character error rate of neighbouring benchmark items, by the built-in distance."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("t"))
-    p = b.withColumn("h", F.lead("t").over(Window.orderBy("item_id"))).where("h is not null and length(t) > 0")
-    d = F.levenshtein("t", "h")
-    return p.select("item_id", d.alias("errors"), F.length("t").alias("n"), F.round(d.cast("double") / F.length("t"), 6).alias("score"))
+    """Character error rate of neighbouring benchmark items, by the built-in distance. (DuckDB's counts bytes: each character gets one.)"""
+    p = _neighbours(spark, sf_dir).where("length(ref) > 0")
+    d = F.levenshtein("ref", "hyp")
+    return p.select(F.col("id").alias("item_id"), d.alias("errors"), F.length("ref").alias("n"), F.round(d.cast("double") / F.length("ref"), 6).alias("score"))
 
 
 @query(
-    f"""with recursive b as (select item_id, {_SPLIT.format("text")} as w from benchmark where item_id < 24),
+    f"""with recursive b as (select item_id, {_SPLIT.format("text")} as w from benchmark),
     p as (select a.item_id * 100000 + c.item_id as key, a.item_id, c.item_id as other, a.w as r, c.w as h from b a join b c on a.item_id <> c.item_id), {_DP}
     select item_id, other, d::int as dist from (select item_id, other, d, row_number() over (partition by item_id order by d, other) as k from p join dist using (key)) where k = 1"""
 )
 def wer_benchmark_allpairs_best(spark, sf_dir):
-    """The nearest other item of each benchmark item. The oracle still takes the items under 24."""
-    from ..functions.align import counts
-
+    """The nearest other item of each benchmark item."""
     b = table(spark, sf_dir, "benchmark").select("item_id", tokens.words(F.col("text")).alias("w"))
-    p = b.join(b.select(F.col("item_id").alias("other"), F.col("w").alias("v")), F.col("item_id") != F.col("other"))
-    d = p.select("item_id", "other", counts(F.col("w"), F.col("v"))["dist"].alias("dist"))
+    # distances are the same both ways: each pair is aligned once
+    p = align.spread(b.join(b.select(F.col("item_id").alias("other"), F.col("w").alias("v")), F.col("item_id") < F.col("other")), "item_id", "other")
+    d = p.select("item_id", "other", align.distances(F.col("w"), F.col("v")).alias("dist"))
+    d = d.select(F.explode(F.array(F.struct("item_id", "other", "dist"), F.struct(F.col("other").alias("item_id"), F.col("item_id").alias("other"), "dist"))).alias("x")).select("x.*")
     return d.groupBy("item_id").agg(F.min_by(F.struct("other", "dist"), F.struct("dist", "other")).alias("x")).select("item_id", "x.other", "x.dist")
 
 
-@query()
+@query(
+    f"""with recursive b as (select item_id as key, {_SPLIT.format("text")} as r from benchmark), p as (select * from (select key, r, lead(r) over (order by key) as h from b) where h is not null),
+    dp as (select key, 0 as i, list_transform(range(0, len(h) + 1), lambda j: {{'d': j, 's': repeat('i', j::int)}}) as line from p
+      union all
+      select key, i, list_reduce(list_transform(range(1, len(same) + 1), lambda j: [{{'d': j, 's': ''}}]),
+        lambda done, x: list_append(done, case when line[x[1].d + 1].d + 1 <= least(done[len(done)].d + 1, line[x[1].d].d + (not same[x[1].d])::bigint) then {{'d': line[x[1].d + 1].d + 1, 's': line[x[1].d + 1].s || 'd'}}
+          when done[len(done)].d + 1 <= line[x[1].d].d + (not same[x[1].d])::bigint then {{'d': done[len(done)].d + 1, 's': done[len(done)].s || 'i'}}
+          else {{'d': line[x[1].d].d + (not same[x[1].d])::bigint, 's': line[x[1].d].s || case when same[x[1].d] then 'c' else 's' end}} end), [{{'d': i::bigint, 's': repeat('d', i::int)}}]) as line
+      from (select dp.key, dp.i + 1 as i, dp.line, list_transform(p.h, lambda t: t = p.r[dp.i + 1]) as same from dp join p on p.key = dp.key where dp.i < len(p.r))),
+    o as (select dp.key, line[len(line)].s as s, p.r, p.h from dp join p on p.key = dp.key where dp.i = len(p.r)),
+    e as (select s[k] as op, case when s[k] = 'i' then h[length(replace(s[1:k], 'd', ''))] else r[length(replace(s[1:k], 'i', ''))] end as token from o, unnest(range(1, length(s) + 1)) as u(k))
+    select token, count(*) filter (where op <> 'i') as "all", count(*) filter (where op = 'c') as cor, count(*) filter (where op = 's') as sub, count(*) filter (where op = 'i') as ins, count(*) filter (where op = 'd') as del from e group by token"""
+)
 def token_confusion(spark, sf_dir):
     """What became of each token between neighbouring benchmark items (split of operations by tie order)."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", tokens.words(F.col("text")).alias("ref_tokens"))
-    return metrics.token_confusion(b.withColumn("hyp_tokens", F.lead("ref_tokens").over(Window.orderBy("item_id"))).where("hyp_tokens is not null"))
+    b = _neighbours(spark, sf_dir).select(tokens.words(F.col("ref")).alias("ref_tokens"), tokens.words(F.col("hyp")).alias("hyp_tokens"))
+    return metrics.token_confusion(b)
 
 
-@query()
+def _rounded(report):
+    return report.withColumn("score", F.round("score", 6)).withColumn("sentence_error_rate", F.round("sentence_error_rate", 6))
+
+
+@query(_TURNS.replace(_DP, _SPLIT_DP) + "select " + _RATES)
 def wer_decomposed(spark, sf_dir):
     """Substitutions, deletions, insertions and the sentence error rate of conversation turns."""
-    return metrics.error_rate(metrics.scored(_turns(spark, sf_dir)))
+    return _rounded(metrics.error_rate(metrics.scored(_turns(spark, sf_dir))))
 
 
-@query()
+@query(
+    r"""with recursive t as (select conv_id, turn, role, text, lead(text) over (partition by conv_id order by turn) as nxt from conversations),
+    q as (select conv_id || '|' || turn as id, list_transform([coalesce(text, ''), coalesce(nxt, '')], lambda x: regexp_extract_all(upper(replace(regexp_replace(x, '([\x{4E00}-\x{9FFF}])', ' \1 ', 'g'), 'ß', 'SS')), '[\x{4E00}-\x{9FFF}]|[\p{L}\p{N}'']+')) as s from t where role = 'user'),
+    p as (select k || id as key, k as kind, case k when 'mix' then s[1] when 'zh' then list_filter(s[1], lambda w: regexp_matches(w, '^[\x{4E00}-\x{9FFF}]')) else list_filter(s[1], lambda w: not regexp_matches(w, '^[\x{4E00}-\x{9FFF}]')) end as r,
+      case k when 'mix' then s[2] when 'zh' then list_filter(s[2], lambda w: regexp_matches(w, '^[\x{4E00}-\x{9FFF}]')) else list_filter(s[2], lambda w: not regexp_matches(w, '^[\x{4E00}-\x{9FFF}]')) end as h from q, (select unnest(['mix', 'zh', 'en']) as k)),"""
+    + _DP
+    + """, s as (select kind, sum(d)::double as d, sum(len(r)) as n from p join dist using (key) group by kind)
+    select round(coalesce(max(d / nullif(n, 0)) filter (where kind = 'mix'), 0), 6) as mer, round(coalesce(max(d / nullif(n, 0)) filter (where kind = 'zh'), 0), 6) as cer, round(coalesce(max(d / nullif(n, 0)) filter (where kind = 'en'), 0), 6) as wer, max(n) filter (where kind = 'mix')::bigint as num_tokens from s"""
+)
 def code_switch_mer(spark, sf_dir):
     """Mixed, Han-only and other error rates of conversation turns."""
-    return metrics.code_switch_rates(_turns(spark, sf_dir))
+    r = metrics.code_switch_rates(_turns(spark, sf_dir))
+    return r.select(*[F.round(c, 6).alias(c) for c in ("mer", "cer", "wer")], "num_tokens")
 
 
 @query()
@@ -158,8 +206,12 @@ def left_join_missing_as_wrong(spark, sf_dir):
 )
 def inner_join_accuracy(spark, sf_dir):
     """Accuracy over shared keys only, by language."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("n_chars") > 800, 1).otherwise(0).alias("truth"))
-    return metrics.accuracy(d.join(_said(spark, sf_dir), "doc_id"), "truth", "said", ["lang"]).select("lang", "total", "correct", F.round("score", 6).alias("score"))
+    d = table(spark, sf_dir, "documents")
+    ref = d.select(F.col("doc_id").alias("key"), F.to_json(F.struct("lang", F.when(F.col("n_chars") > 800, 1).otherwise(0).alias("truth"))).alias("text"))
+    hyp = _said(spark, sf_dir).select(F.col("doc_id").alias("key"), F.col("said").cast("string").alias("text"), F.lit(0).alias("line_at"))
+    r = F.from_json("ref", "lang string, truth int")
+    pairs = alignment.inner_pairs(ref, hyp).select(r["lang"].alias("lang"), r["truth"].alias("truth"), F.col("hyp").cast("int").alias("said"))
+    return metrics.accuracy(pairs, "truth", "said", ["lang"]).select("lang", "total", "correct", F.round("score", 6).alias("score"))
 
 
 @query("select d.doc_id as key, d.lang as src, l.quality as ref, case when n_chars > 800 then 1 else 0 end as hyp from documents d join labels l using (doc_id)")
@@ -182,12 +234,16 @@ def positional_pairing(spark, sf_dir):
     return alignment.positional(d.where("lang = 'en'").select("doc_id", "n_chars"), d.where("lang = 'de'").select(F.col("doc_id").alias("other"), F.col("n_chars").alias("other_chars")), ["doc_id"], ["other"])
 
 
-@query("select count(o) as num_ref, count(l) as num_hyp, count(*) filter (where l is null) as num_missing, count(*) filter (where o is null) as num_extra from (select distinct o_orderkey as o from orders) full join (select distinct l_orderkey as l from lineitem) on o = l")
+@query("select count(o) as num_ref, count(l) as num_hyp, count(*) filter (where l is null) as num_missing, count(*) filter (where o is null) as num_extra, count(*) filter (where l is null or o is null) = 0 as same_keys from (select distinct o_orderkey as o from orders) full join (select distinct l_orderkey as l from lineitem) on o = l")
 def key_set_equality_check(spark, sf_dir):
     """Orders against the orders of line items."""
     o, l = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"))
-    both = o.distinct().withColumn("o", F.lit(1)).join(l.distinct().withColumn("l", F.lit(1)), "key", "full")
-    return both.agg(F.count("o").alias("num_ref"), F.count("l").alias("num_hyp"), F.count_if(F.col("l").isNull()).alias("num_missing"), F.count_if(F.col("o").isNull()).alias("num_extra"))
+    try:
+        alignment.require_same_keys(o, l)
+        same = True
+    except ValueError:
+        same = False
+    return alignment.coverage(o, l).select("num_ref", "num_hyp", "num_missing", "num_extra", F.lit(same).alias("same_keys"))
 
 
 @query("select l_orderkey as key, l_linenumber, l_quantity from (select *, row_number() over (partition by l_orderkey order by l_linenumber desc, l_quantity desc) as k from lineitem) where k = 1")
@@ -197,10 +253,10 @@ def duplicate_hyp_last_wins(spark, sf_dir):
     return alignment.last_wins(l, ["l_linenumber", "l_quantity"])
 
 
-@query(r"select doc_id, length(s) as kept, md5(s) as digest from (select doc_id, regexp_replace(text[1:500], '[\p{P}\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]', '', 'g') as s from documents)")
+@query(r"select doc_id, length(s) as kept, md5(s) as digest from (select doc_id, regexp_replace(text, '[\p{P}\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]', '', 'g') as s from documents)")
 def punct_strip(spark, sf_dir):
     """Punctuation and ASCII signs out."""
-    s = table(spark, sf_dir, "documents").select("doc_id", text.strip_punctuation(F.substring("text", 1, 500)).alias("s"))
+    s = table(spark, sf_dir, "documents").select("doc_id", text.strip_punctuation(F.col("text")).alias("s"))
     return s.select("doc_id", F.length("s").cast("long").alias("kept"), F.md5("s").alias("digest"))
 
 
@@ -212,12 +268,12 @@ def tag_strip(spark, sf_dir):
 
 
 @query(
-    r"""select conv_id, turn, trim(regexp_replace(upper(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]*(>|$)', '', 'g'), '[\x21-\x26\x28-\x2F\x3A\x3B\x3D\x3F\x40\x5B-\x60\x7B-\x7E]', '', 'g'), '[\x{2010}-\x{2027}\x{3001}-\x{3003}\x{00BF}\x{00A1}\x{00AB}\x{00BB}]', '', 'g')), '\s+', ' ', 'g')) as norm
-    from conversations where not contains(text, 'ß')"""
+    r"""select conv_id, turn, trim(regexp_replace(upper(replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]*(>|$)', '', 'g'), '[\x21-\x26\x28-\x2F\x3A\x3B\x3D\x3F\x40\x5B-\x60\x7B-\x7E]', '', 'g'), '[\x{2010}-\x{2027}\x{3001}-\x{3003}\x{00BF}\x{00A1}\x{00AB}\x{00BB}]', '', 'g'), 'ß', 'SS')), '\s+', ' ', 'g')) as norm
+    from conversations"""
 )
 def gstar_normalise(spark, sf_dir):
     """Speaker-attributed normalisation of turns."""
-    return table(spark, sf_dir, "conversations").where(~F.contains("text", F.lit("ß"))).select("conv_id", "turn", text.speaker_normalise(F.col("text")).alias("norm"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.speaker_normalise(F.col("text")).alias("norm"))
 
 
 @query(r"select p_partkey, nullif(upper(regexp_replace(p_name, '\s+', '', 'g')), '') as keyword from part")
@@ -244,29 +300,30 @@ def metric_alias(spark, sf_dir):
 
 
 @query(
-    """with c as (select conv_id, turn, lower(text) as t from conversations where role = 'assistant'), o(id, name) as (values ('a', 'the'), ('b', 'of'), ('c', 'les'), ('d', 'zz')),
+    """with c as (select conv_id, turn, lower(text) as t from conversations where role = 'assistant'), o(id, name) as (values ('q1', 'the'), ('q2', 'of'), ('q3', 'les'), ('q4', 'zz')),
     m as (select conv_id, turn, count(*) filter (where contains(t, name)) as k, min(id) filter (where contains(t, name)) as first_id from c, o group by conv_id, turn)
     select conv_id, turn, k::int as num_matches, case when k = 1 then first_id end as choice from m"""
 )
 def prompt_choice_match(spark, sf_dir):
     """Choices that an assistant's text contains."""
-    options = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(n).alias("text")) for i, n in (("a", "the"), ("b", "of"), ("c", "les"), ("d", "zz"))])
+    options = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(n).alias("text"), F.expr("cast(array() as array<string>)").alias("aliases")) for i, n in (("q1", "the"), ("q2", "of"), ("q3", "les"), ("q4", "zz"))])
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("t", F.lower("text")).withColumn("o", options)
-    hit = F.filter("o", lambda x: F.contains(F.col("t"), x["text"]))
-    return c.select("conv_id", "turn", F.size(hit).alias("num_matches"), F.when(F.size(hit) == 1, F.get(hit, F.lit(0))["id"]).alias("choice"))
+    c = c.withColumn("m", alignment.matches(F.col("t"), F.col("o"))).withColumn("answer", alignment.choice_answer(F.col("t"), F.col("o")))
+    return c.select("conv_id", "turn", F.size("m").alias("num_matches"), F.when(F.col("answer.status") == "matched_choice", F.col("answer.answer")).alias("choice"))
 
 
 @query("select conv_id, md5(string_agg(text, ' ' order by turn)) as digest, count(*) as turns from conversations group by conv_id")
 def multi_row_concat(spark, sf_dir):
     """A conversation's turns in order as one text."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("t"), F.count("*").alias("turns"))
-    return g.select("conv_id", F.md5("t").alias("digest"), "turns")
+    c = table(spark, sf_dir, "conversations")
+    g = keytext.joined_by_key(c.select(F.col("conv_id").alias("key"), "text", F.col("turn").alias("line_at")))
+    n = c.groupBy(F.col("conv_id").alias("key")).agg(F.count("*").alias("turns"))
+    return g.join(n, "key").select(F.col("key").alias("conv_id"), F.md5("text").alias("digest"), "turns")
 
 
-@query("select a.vec_id, b.vec_id as other, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity from embeddings a join embeddings b on a.label = b.label and b.vec_id > a.vec_id and b.vec_id < a.vec_id + 20")
+@query("select a.vec_id, b.vec_id as other, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity from embeddings a join embeddings b on a.label = b.label and b.vec_id > a.vec_id")
 def embedding_cosine_pairs(spark, sf_dir):
-    """Similarity of all pairs of the same label. The oracle still takes pairs within 20 ids of each other."""
+    """Similarity of all pairs of the same label."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     p = e.join(e.select(F.col("vec_id").alias("other"), F.col("label").alias("l2"), F.col("embedding").alias("e2")), (F.col("label") == F.col("l2")) & (F.col("other") > F.col("vec_id")))
     return p.select("vec_id", "other", F.round(signal.cosine(F.col("embedding"), F.col("e2")), 6).alias("similarity"))
@@ -275,8 +332,8 @@ def embedding_cosine_pairs(spark, sf_dir):
 @query("select label, pos::int as pos, round(avg(v::double), 6) as mean from (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as pos from embeddings) group by label, pos")
 def embedding_centroid(spark, sf_dir):
     """Mean vector of each label, by place."""
-    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("pos", "v"))
-    return e.groupBy("label", "pos").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
+    m = predicates.mean_vector(table(spark, sf_dir, "embeddings"), ["label"])
+    return m.select("label", F.posexplode("mean").alias("pos", "m")).select("label", "pos", F.round("m", 6).alias("mean"))
 
 
 @query(
@@ -328,8 +385,11 @@ def json_props_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query()
+@query(
+    """select * from (values ('a', 1, 'A', 'yes', ''), ('a', 2, 'B', 'no', ''), ('b', 1, 'x', 'one', '1'), ('b', 2, '2', 'two', ''), ('c', 1, '1', 'red', ''), ('c', 2, '2', 'blue', ''), ('d', 1, 'A', 'cat', ''), ('d', 2, 'B', 'dog', '')) as t("key", place, id, "text", aliases)"""
+)
 def choices_from_json(spark, sf_dir):
     """Prompt choices in all their forms."""
     rows = spark.createDataFrame([('{"key":"a","choices":{"A":"yes","B":"no"}}',), ('{"key":"b","choices":[{"id":"x","text":"one","aliases":["1"]},{"label":"two"}]}',), ('{"key":"c","options":["red","blue"]}',), ('{"key":"d","prompt":"Pick\\nA. cat\\nB) dog"}',)], "value string")
-    return rows.select(F.get_json_object("value", "$.key").alias("key"), structured.choices_of(F.col("value")).alias("choices"))
+    each = rows.select(F.get_json_object("value", "$.key").alias("key"), F.posexplode(structured.choices_of(F.col("value"))).alias("p", "c"))
+    return each.select("key", (F.col("p") + 1).alias("place"), "c.id", "c.text", F.array_join("c.aliases", ",").alias("aliases"))

@@ -71,6 +71,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/tarnsight/{name}-{uuid.uuid4().hex}"
+    fs, at = hadoop_path(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a staged table that nothing reads any more."""
     path = getattr(df, "_tarnsight_path", None)

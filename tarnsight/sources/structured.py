@@ -169,11 +169,22 @@ def kws_from_json(reference: DataFrame, outputs: DataFrame) -> DataFrame:
     return joined.withColumn("expected_detected", known).select(*[c.split()[0] for c in KWS.split(", ")])
 
 
+def _last_line(scores: DataFrame, *columns: Column) -> DataFrame:
+    """The columns (key first) of the last line of each key; without `line_at`, of the one that Spark numbers last."""
+    at = F.col("line_at") if "line_at" in scores.columns else F.monotonically_increasing_id()
+    rows = scores.select(*columns, at.alias("_at"))
+    rest = [c for c in rows.columns if c not in ("key", "_at")]
+    return rows.groupBy("key").agg(F.max_by(F.struct(*rest), "_at").alias("x")).select("key", "x.*")
+
+
 def kws_from_ctc(labels: DataFrame, scores: DataFrame, wanted: str) -> DataFrame:
-    """Samples from labels (key, text) and score lines (value) `key detected <keyword> <score>` or `key rejected`; labels drive the rows."""
+    """Samples from labels (key, text) and score lines (value) `key detected <keyword> <score>` or `key rejected`.
+
+    Labels drive the rows: one without a score raises. Of repeated score lines the last counts.
+    """
     p = F.split(F.trim("value"), r"\s+")
     hit = (F.get(p, F.lit(1)) == "detected") & (F.size(p) >= 4)
-    got = scores.select(F.get(p, F.lit(0)).alias("key"), hit.alias("detected"), F.when(hit, keyword(F.get(p, F.lit(2)))).alias("predicted_keyword"), F.when(hit, F.get(p, F.lit(3)).cast("double")).alias("score"))
+    got = _last_line(scores, F.get(p, F.lit(0)).alias("key"), hit.alias("detected"), F.when(hit, keyword(F.get(p, F.lit(2)))).alias("predicted_keyword"), F.when(hit, F.get(p, F.lit(3)).cast("double")).alias("score"))
     ref = labels.select("key", F.coalesce(keyword(F.col("text")).contains(F.upper(F.lit(wanted))), F.lit(False)).alias("expected_detected"))
     joined = ref.join(got, "key", "left")
     there = F.when(F.col("detected").isNull(), F.raise_error(F.concat(F.lit("no score for "), "key")).cast("boolean")).otherwise(F.col("detected"))
@@ -181,13 +192,17 @@ def kws_from_ctc(labels: DataFrame, scores: DataFrame, wanted: str) -> DataFrame
 
 
 def kws_from_frames(labels: DataFrame, scores: DataFrame, wanted: str, threshold: float = 0.5) -> DataFrame:
-    """Samples from labels (key, text) and frame lines (value) `key keyword s1 s2 ...` of one keyword; detected where the largest reaches the threshold."""
+    """Samples from labels (key, text) and frame lines (value) `key keyword s1 s2 ...` of one keyword; detected where the largest reaches the threshold.
+
+    Labels drive the rows: one without frames raises. Of repeated lines the last counts.
+    """
     p = F.split(F.trim("value"), r"\s+")
     frames = F.transform(F.slice(p, F.lit(3), F.greatest(F.size(p) - 2, F.lit(0))), lambda x: x.cast("double"))
-    got = scores.where(keyword(F.get(p, F.lit(1))) == F.upper(F.lit(wanted))).select(F.get(p, F.lit(0)).alias("key"), frames.alias("scores"))
+    got = _last_line(scores.where(keyword(F.get(p, F.lit(1))) == F.upper(F.lit(wanted))), F.get(p, F.lit(0)).alias("key"), frames.alias("scores"))
     top = F.coalesce(F.array_max("scores"), F.lit(0.0))
     ref = labels.select("key", F.coalesce(keyword(F.col("text")).contains(F.upper(F.lit(wanted))), F.lit(False)).alias("expected_detected"))
-    return ref.join(got, "key").select("key", "expected_detected", F.when(F.col("expected_detected"), F.upper(F.lit(wanted))).alias("expected_keyword"), (top >= threshold).alias("detected"), F.when(top >= threshold, F.upper(F.lit(wanted))).alias("predicted_keyword"), top.alias("score"), "scores", F.lit(None).cast("double").alias("duration"))
+    there = F.when(F.col("scores").isNull(), F.raise_error(F.concat(F.lit("no frames for "), "key")).cast("boolean")).otherwise(top >= threshold)
+    return ref.join(got, "key", "left").select("key", "expected_detected", F.when(F.col("expected_detected"), F.upper(F.lit(wanted))).alias("expected_keyword"), there.alias("detected"), F.when(top >= threshold, F.upper(F.lit(wanted))).alias("predicted_keyword"), top.alias("score"), "scores", F.lit(None).cast("double").alias("duration"))
 
 
 SEGMENTS = ["session", "channel", "speaker", "start", "end", "words"]
