@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import queries_keyword, queries_rank, queries_text  # noqa: E402, F401
+from . import queries_files, queries_keyword, queries_rank, queries_text  # noqa: E402, F401

@@ -71,13 +71,13 @@ def kws_min_frr_far(spark, sf_dir):
 
 @query(_S + " select user_id, round(sum(coalesce(dur, 0)) / 3600, 6) as hours from s where not pos group by user_id")
 def kws_filler_hours(spark, sf_dir):
-    s = samples(spark, sf_dir).where(~F.col("expected_detected"))
-    return s.groupBy("user_id").agg(F.round(F.sum(F.coalesce("duration", F.lit(0.0))) / 3600, 6).alias("hours"))
+    r = metrics.kws_report(samples(spark, sf_dir), by=["user_id"]).where("negatives > 0")
+    return r.select("user_id", F.round("filler_hours", 6).alias("hours"))
 
 
 @query(_S + " select round(avg(score), 6) as mean_score, count(score) as num_scored from s")
 def kws_mean_score(spark, sf_dir):
-    s = samples(spark, sf_dir).withColumn("x", F.coalesce("score", F.array_max("scores")))
+    s = samples(spark, sf_dir).withColumn("x", metrics.detection_score())
     return s.agg(F.round(F.avg("x"), 6).alias("mean_score"), F.count("x").alias("num_scored"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import align, signal, text, tokens
-from ..operators import alignment, metrics, predicates
+from ..operators import alignment, diarization, metrics, predicates
 from ..sources import keytext, structured
 from .catalog import query, table
 
@@ -66,7 +66,9 @@ def session_macro_vs_micro(spark, sf_dir):
     """Mean of the conversations' error rates against the rate of all turns together."""
     per = metrics.error_rate(metrics.scored(_turns(spark, sf_dir)), ["conv_id"])
     errors = F.col("sub") + F.col("del") + F.col("ins")
-    return per.agg(F.round(F.avg("score"), 6).alias("macro"), F.round(F.sum(errors).cast("double") / F.sum("num_tokens"), 6).alias("micro"), F.count("*").alias("sessions"))
+    micro = per.agg(F.round(F.sum(errors).cast("double") / F.sum("num_tokens"), 6).alias("micro"))
+    macro = diarization.session_mean(per, "score")
+    return macro.crossJoin(micro).select(F.round("score", 6).alias("macro"), "micro", F.col("num_sessions").alias("sessions"))
 
 
 def _neighbouring_documents(spark, sf_dir, n=None):
@@ -364,21 +366,6 @@ def _neighbours(spark, sf_dir):
     return b.withColumn("hyp", F.lead("ref").over(Window.orderBy("id"))).where("hyp is not null")
 
 
-@query()
-def bleu_corpus(spark, sf_dir):
-    """BLEU of benchmark items against themselves with every tenth word changed."""
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("ref"))
-    changed = F.array_join(F.transform(tokens.words(F.col("ref")), lambda w, i: F.when(i % 10 == 9, "x").otherwise(w)), " ")
-    return metrics.bleu(b.withColumn("hyp", changed))
-
-
-@query()
-def chrf_corpus(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("ref"))
-    changed = F.array_join(F.transform(tokens.words(F.col("ref")), lambda w, i: F.when(i % 10 == 9, "x").otherwise(w)), " ")
-    return metrics.chrf(b.withColumn("hyp", changed))
-
-
 @query("select event_id, (props->>'$.k')::bigint as k from events")
 def json_props_extract(spark, sf_dir):
     """A typed read of a JSON column."""
