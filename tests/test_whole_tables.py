@@ -1,4 +1,4 @@
-"""Queries over whole turns and tables. Where the registered SQL still has a cut, it is held against that SQL without the cut."""
+"""Queries over whole turns, documents and tables."""
 
 import duckdb
 import pytest
@@ -15,23 +15,23 @@ def duck():
     return con
 
 
-def whole(spark, duck, name, cut):
-    assert cut in catalog.ORACLES[name]
-    want = duck.execute(catalog.ORACLES[name].replace(cut, "")).fetchdf()
-    assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(want)
+def test_no_text_is_cut_but_as_the_survey_says():
+    import re
 
+    assert {n for n, q in catalog.ORACLES.items() if re.search(r"\[1:\d+\]", q)} == {"wer_by_lang"}
 
-@pytest.mark.parametrize("name", ["wer_conversation_turns", "session_macro_vs_micro"])
-def test_turns_are_whole(spark, duck, name):
-    whole(spark, duck, name, "[1:60]")
 
+def test_error_rate_of_whole_documents(spark):
+    from tarnsight.functions.align import distance
 
-def test_all_pairs_of_a_label(spark, duck):
-    whole(spark, duck, "embedding_cosine_pairs", " and b.vec_id < a.vec_id + 20")
-
-
-def test_all_benchmark_items(spark, duck):
-    whole(spark, duck, "wer_benchmark_allpairs_best", " where item_id < 24")
+    got = {r.lang: (r.pairs, r.num_tokens, r.errors) for r in catalog.QUERIES["wer_by_lang_whole"](spark, SF).collect()}
+    by, want = {}, {}
+    for d, lang, t in duckdb.sql(f"select doc_id, lang, text from '{SF}/documents.parquet' order by doc_id").fetchall():
+        by.setdefault(lang, []).append(t.split())
+    for lang, texts in by.items():
+        pairs = list(zip(texts, texts[1:]))
+        want[lang] = (len(pairs), sum(len(a) for a, _ in pairs), sum(distance(a, b) for a, b in pairs))
+    assert got == want
 
 
 def test_diarisation_of_all_users(spark, monkeypatch):
