@@ -8,6 +8,7 @@ matrix is two long integers, of the places where it rises and falls, so whole te
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -122,6 +123,34 @@ def align_counts(ref: list, hyp: list) -> tuple[int, int, int, int, int]:
     return len(ops_) - cor, cor, ops_.count("sub"), ops_.count("del"), ops_.count("ins")
 
 
+def weighted_counts(ref: list, hyp: list, sub: int = 4, dele: int = 3, ins: int = 3) -> tuple[int, int, int, int, int]:
+    """(errors, cor, sub, del, ins) of the alignment of least weighted cost; ties as for unit costs. A numpy row at a time, the path by its kinds."""
+    n, m = len(ref), len(hyp)
+    code = {t: i for i, t in enumerate(dict.fromkeys([*ref, *hyp]))}
+    h, j = np.array([code[t] for t in hyp], np.int64), np.arange(m + 1)
+    cost, kind = ins * j, np.zeros((n + 1, m + 1), np.int8)  # 0 del, 1 ins, 2 sub, 3 cor
+    kind[0] = 1
+    for i, t in enumerate(ref, 1):
+        hit = h == code[t]
+        best = cost + dele
+        np.minimum(best[1:], cost[:-1] + np.where(hit, 0, sub), out=best[1:])
+        new = np.minimum.accumulate(best - ins * j) + ins * j
+        kind[i, 1:] = np.where(new[1:] == cost[1:] + dele, 0, np.where(new[1:] == new[:-1] + ins, 1, np.where(hit, 3, 2)))
+        cost = new
+    count, i, k = [0] * 4, n, m
+    while i or k:
+        what = kind[i, k]
+        count[what] += 1
+        i, k = i - (what != 1), k - (what != 0)
+    return sum(count[:3]), count[3], count[2], count[0], count[1]
+
+
+@F.pandas_udf(COUNTS)
+def _weighted_arrow(ref: pd.Series, hyp: pd.Series, weights: pd.Series) -> pd.DataFrame:
+    rows = [(None,) * 5 if r is None or h is None else weighted_counts(r.tolist(), h.tolist(), *map(int, w)) for r, h, w in zip(ref, hyp, weights)]
+    return pd.DataFrame(rows, columns=["dist", "cor", "sub", "del", "ins"], dtype="Int32")
+
+
 @F.pandas_udf(COUNTS)
 def _counts_arrow(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     rows = [(None,) * 5 if r is None or h is None else align_counts(r.tolist(), h.tolist()) for r, h in zip(ref, hyp)]
@@ -133,9 +162,12 @@ def _distance_arrow(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([None if r is None or h is None else distance(r.tolist(), h.tolist()) for r, h in zip(ref, hyp)], dtype="Int32")
 
 
-def counts(ref: Column, hyp: Column) -> Column:
-    """dist, cor, sub, del, ins of two token arrays of any length; `counts_native` suits pairs of a few tokens."""
-    return _counts_arrow(ref, hyp)
+def counts(ref: Column, hyp: Column, weights: tuple[int, int, int] | None = None) -> Column:
+    """dist, cor, sub, del, ins of two token arrays of any length; `counts_native` suits pairs of a few tokens.
+
+    weights: costs of a substitution, a deletion and an insertion where they differ (4, 3, 3 is usual); dist counts errors all the same.
+    """
+    return _counts_arrow(ref, hyp) if weights is None else _weighted_arrow(ref, hyp, F.array(*map(F.lit, weights)))
 
 
 def distances(ref: Column, hyp: Column) -> Column:

@@ -85,6 +85,30 @@ def resample(samples: pd.Series, source: pd.Series, target: pd.Series) -> pd.Ser
     return pd.Series([one(x, a, b) for x, a, b in zip(samples, source, target)])
 
 
+def polyphase(x: np.ndarray, up: int, down: int) -> np.ndarray:
+    """x at up/down times its rate: zeros between samples, a windowed-sinc low-pass (Kaiser, 5), every down-th sample of the result."""
+    k = np.gcd(up, down)
+    up, down = up // k, down // k
+    if up == down:
+        return np.asarray(x, float)
+    half = 10 * max(up, down)
+    t = np.arange(-half, half + 1)
+    low = np.sinc(t / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+    low *= up / low.sum()
+    wide = np.zeros(len(x) * up)
+    wide[::up] = x
+    n, size = -(-len(x) * up // down), len(wide) + 2 * half
+    fft = 1 << int(size).bit_length()
+    full = np.fft.irfft(np.fft.rfft(wide, fft) * np.fft.rfft(low, fft), fft)[half : half + len(wide)]
+    return full[::down][:n]
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def resample_polyphase(samples: pd.Series, source: pd.Series, target: pd.Series) -> pd.Series:
+    """Resampling by rational factors with a polyphase low-pass."""
+    return pd.Series([x if x is None or not len(x) else polyphase(np.asarray(x, float), int(b), int(a)) for x, a, b in zip(samples, source, target)])
+
+
 @F.pandas_udf(T.DoubleType())
 def sliding_mean(samples: pd.Series, rate: pd.Series) -> pd.Series:
     """Mean root-mean-square level over 9.01 s windows, 1 s apart; a short clip repeats itself, a short tail is left out."""

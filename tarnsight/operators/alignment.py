@@ -81,6 +81,18 @@ def matches(raw, choices):
     return F.filter(found, lambda c, i: (i == 0) | ~F.exists(F.slice(found, F.lit(1), i), lambda d: d["id"] == c["id"]))
 
 
+def option_answer(raw, prompt):
+    """An answer read against the options A to D in a prompt's text: a lone letter, else an option's exact text, else the answer itself."""
+    from ..functions.text import label_value
+    from ..sources.structured import choices_of_prompt
+
+    options = F.filter(choices_of_prompt(prompt), lambda c: F.upper(c["id"]).isin("A", "B", "C", "D"))
+    letter = F.upper(F.regexp_extract(raw, r"(?i)(?:^|[^\p{L}\p{N}])([A-D])(?:$|[^\p{L}\p{N}])", 1))
+    by_letter = F.get(F.filter(options, lambda c: F.upper(c["id"]) == letter), F.lit(0))["text"]
+    by_text = F.get(F.filter(options, lambda c: label_value(c["text"]) == label_value(raw)), F.lit(0))["text"]
+    return F.coalesce(by_letter, by_text, F.trim(raw))
+
+
 def choice_answer(raw, choices, output: str = "id", ambiguous: str = "unresolved"):
     """(answer, status): the id or text of the choice that an answer names; itself where none or several do, unless the first shall do."""
     m = matches(raw, choices)

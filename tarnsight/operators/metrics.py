@@ -9,12 +9,12 @@ from ..functions import align, tokens
 from ..runtime import ship
 
 
-def scored(pairs: DataFrame, tokenise=tokens.words, fold: bool = True) -> DataFrame:
-    """pairs (ref, hyp) with columns n, dist, cor, sub, del, ins."""
+def scored(pairs: DataFrame, tokenise=tokens.words, fold: bool = True, weights: tuple[int, int, int] | None = None) -> DataFrame:
+    """pairs (ref, hyp) with columns n, dist, cor, sub, del, ins; weights: costs of substitution, deletion, insertion other than 1."""
     ship(pairs.sparkSession)
     prepare = (lambda c: tokens.fold_tokens(tokenise(c))) if fold else tokenise
     with_tokens = pairs.withColumn("ref_tokens", prepare(F.col("ref"))).withColumn("hyp_tokens", prepare(F.col("hyp")))
-    return with_tokens.withColumn("a", align.counts(F.col("ref_tokens"), F.col("hyp_tokens"))).withColumn("n", F.size("ref_tokens")).select(*pairs.columns, "n", "a.dist", "a.cor", "a.sub", "a.del", "a.ins")
+    return with_tokens.withColumn("a", align.counts(F.col("ref_tokens"), F.col("hyp_tokens"), weights)).withColumn("n", F.size("ref_tokens")).select(*pairs.columns, "n", "a.dist", "a.cor", "a.sub", "a.del", "a.ins")
 
 
 def error_rate(rows: DataFrame, by: list[str] = ()) -> DataFrame:

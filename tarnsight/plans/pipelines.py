@@ -36,7 +36,7 @@ def normalised(df: DataFrame, name: str, language: str, column: str = "text") ->
     elif name.startswith("wetext"):
         out = text.strip_for_scoring(spoken.chain("spoken_zh")(spoken.chain("fold")(c)))
     elif name.startswith("aispeech"):
-        out = text.strip_for_scoring(spoken.chain("verbalise_zh" if language == "zh" else "verbalise_en")(c))
+        out = text.strip_for_scoring(spoken.chain(f"recogniser_{language}" if language in ("zh", "cs") else "recogniser_en")(c))
     elif name.startswith("gstar"):
         out = text.speaker_normalise(c, language)
     else:

@@ -47,6 +47,26 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.inline(F.when(F.col("v").startswith("["), F.from_json("v", item)).otherwise(obj)))
 
 
+def raw_json_from_csv(spark: SparkSession, path: str, audio: str, text: str, language: str, metadata: str | None = None, limit: int | None = None) -> DataFrame:
+    """(id, audio, text, language, metadata) of a CSV with named columns, ready for `sinks.json_lines`; rows without audio are left out.
+
+    The id is the audio file's stem. limit: as many rows as an import is to stop at.
+    """
+    rows = spark.read.option("header", True).csv(path)
+    absent = [c for c in (audio, text, metadata) if c and c not in rows.columns]
+    if absent:
+        raise ValueError(f"no column {', '.join(absent)} in {rows.columns}")
+    where = F.trim(F.col(f"`{audio}`"))
+    stem = F.regexp_replace(F.element_at(F.split(where, "/"), -1), r"\.[^.]*$", "")
+    out = rows.select(stem.alias("id"), where.alias("audio"), F.trim(F.col(f"`{text}`")).alias("text"), F.lit(language).alias("language"), (F.col(f"`{metadata}`") if metadata else F.lit(None).cast("string")).alias("metadata"))
+    return limited(out.where("audio is not null and audio <> ''"), limit)
+
+
+def limited(rows: DataFrame, n: int | None) -> DataFrame:
+    """The first n rows of an import, or all."""
+    return rows if n is None else rows.limit(n)
+
+
 def found_audio(samples: DataFrame, files: DataFrame, roots: list[str]) -> DataFrame:
     """samples (key, path) with the first of their places under the roots that is in a file listing (path)."""
     tries = F.transform(F.array(*[F.lit(r.rstrip("/") + "/") for r in roots]), lambda r: F.concat(r, F.col("path")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-DIALECTS = ("counted", "lenient", "strict", "whitespace", "prediction", "columns")
+DIALECTS = ("counted", "lenient", "strict", "scorer", "whitespace", "prediction", "columns")
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -23,7 +23,7 @@ def parse(rows: DataFrame, dialect: str = "counted") -> DataFrame:
     """(line_at, key, text, status) of `lines`; status is ok, blank or malformed.
 
     counted: key and text trimmed, no TAB or an empty key is malformed. lenient: no TAB is blank, nothing is trimmed. strict: as counted,
-    to be `checked`. whitespace: the first word is the key. prediction: TAB where there is one, else the first white space. columns:
+    to be `checked`. scorer: a line without TAB raises; `last_by_key` gives what its readers use. whitespace: the first word is the key. prediction: TAB where there is one, else the first white space. columns:
     the line is trimmed before it is split, so a row without text is blank.
     """
     if dialect not in DIALECTS:
@@ -40,6 +40,9 @@ def parse(rows: DataFrame, dialect: str = "counted") -> DataFrame:
         status = F.when(blank, "blank").when(~tab | (key == ""), "malformed").otherwise("ok")
     elif dialect == "lenient":
         status = F.when(tab, "ok").otherwise("blank")
+    elif dialect == "scorer":
+        key, text = F.trim(key), F.trim(text)
+        status = F.when(blank, "blank").when(tab, "ok").otherwise(F.raise_error(F.concat(F.lit("no TAB in: "), v)).cast("string"))
     elif dialect == "whitespace":
         key, text = word, rest
         status = F.when(blank, "blank").otherwise("ok")

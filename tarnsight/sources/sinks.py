@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import hadoop_path
 
@@ -70,9 +71,20 @@ def trn(df: DataFrame, path: str) -> None:
 
 
 def json_lines(df: DataFrame, path: str) -> None:
-    """One object a row; non-finite doubles are null."""
-    doubles = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}
-    df.select(*[finite(F.col(c)).alias(c) if c in doubles else F.col(c) for c in df.columns]).write.mode("overwrite").json(path)
+    """One object a row; non-finite doubles are null, in structs, arrays and maps too."""
+    df.select(*[_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema]).write.mode("overwrite").json(path)
+
+
+def _finite(x: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return finite(x)
+    if isinstance(kind, T.StructType):
+        return F.when(x.isNotNull(), F.struct(*[_finite(x[f.name], f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda v: _finite(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(x, lambda _, v: _finite(v, kind.valueType))
+    return x
 
 
 def sample_reports(df: DataFrame, path: str) -> None:
@@ -90,11 +102,22 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
+def baseline_yaml(baselines: DataFrame) -> str:
+    """The baselines as YAML, data sets in order; a table of a row a data set."""
+    out = ["baselines:"]
+    for r in sorted(baselines.collect(), key=lambda r: r["dataset"]):
+        out.append(f"  {json.dumps(r['dataset'], ensure_ascii=False)}:")
+        out += [f"    {k}: {json.dumps(plain(v), ensure_ascii=False)}" for k, v in r.asDict().items() if k != "dataset" and v is not None]
+    return "\n".join(out) + "\n"
+
+
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(limit).collect()
+    """A small result as a Markdown table; of a larger one the first `limit` rows, and a line that says so."""
+    rows = df.limit(limit + 1).collect()
+    more = len(rows) > limit
+    rows = rows[:limit]
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
-    return "\n".join([head, *("| " + " | ".join("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows)])
+    return "\n".join([head, *("| " + " | ".join("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows), *([f"\nThe first {limit} rows."] if more else [])])
 
 
 def protocol(path: Path | str, run: dict) -> None:

@@ -26,6 +26,23 @@ def json_lines(spark: SparkSession, path: str, schema: str, bad: str = "fail") -
     return spark.read.schema(schema).json(path, mode={"fail": "FAILFAST", "drop": "DROPMALFORMED"}[bad])
 
 
+def read_predictions(spark: SparkSession, path: str, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """(predictions, problems) of a JSON-lines file: (key, value) of each key's last line, and (problem, key) of what is wrong.
+
+    Problems are `line:N` for a line that is no object, `line:N:missing_key` for one without key, `duplicate` for a key given before.
+    """
+    from pyspark.sql.window import Window
+
+    rows = lines(spark, path).withColumn("n", F.row_number().over(Window.orderBy("line_at"))).where(F.trim("value") != "")
+    fields = F.from_json("value", "map<string,string>")
+    parsed = rows.select("line_at", "value", "n", fields.isNotNull().alias("good"), F.trim(F.get_json_object("value", f"$.{key}")).alias("key"))
+    named = F.col("good") & (F.coalesce("key", F.lit("")) != "")
+    where = F.concat(F.lit("line:"), F.col("n").cast("string"))
+    bad = parsed.where(~named).select(F.when(~F.col("good"), where).otherwise(F.concat(where, F.lit(":missing_key"))).alias("problem"), F.lit(None).cast("string").alias("key"))
+    twice = parsed.where(named).groupBy("key").count().where("count > 1").select(F.lit("duplicate").alias("problem"), "key")
+    return parsed.where(named).groupBy("key").agg(F.max_by("value", "line_at").alias("value")), bad.unionByName(twice)
+
+
 SAMPLES = {
     "tts": "sample_id string, prediction_audio string, language string, reference_text string, reference_audio string, metadata map<string,string>",
     "vc": "sample_id string, converted_audio string, language string, reference_text string, reference_audio string, metadata map<string,string>",
@@ -269,6 +286,22 @@ def baselines(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame(kept, BASELINE)
 
 
+def read_baselines(spark: SparkSession, text: str) -> DataFrame:
+    """A baseline table from YAML text: a mapping of data sets to mappings of scalars, below a `baselines` key or at the top."""
+    rows: list[dict] = []
+    scalar = lambda v: json.loads(v) if v[:1] in '"[{' or v in ("true", "false", "null") else v.strip("'")
+    for line in text.splitlines():
+        body = line.split(" #")[0].rstrip()
+        name, _, value = body.strip().partition(":")
+        if not body.strip() or body.lstrip().startswith("#") or body.strip() == "baselines:":
+            continue
+        if not value.strip():
+            rows.append({"dataset": scalar(name)})
+        elif rows:
+            rows[-1][name] = scalar(value.strip())
+    return baselines(spark, rows)
+
+
 REPORT = "models map<string,struct<tasks:array<string>,track_i:map<string,struct<metric:string,score:double,rps:double>>,track_ii:map<string,struct<metric:string,score:double,rps:double,task:string>>>>"
 
 
