@@ -458,6 +458,40 @@ def test_forest_equals_a_plain_walk_and_is_monotone():
         assert (np.diff(f.margin(line)) <= 1e-12).all()
 
 
+def _plain_statistics(t):
+    import re
+    from math import log1p
+
+    t = (t or "").encode()
+    words = [w.lower() for w in re.findall(rb"[A-Za-z0-9\x80-\xff]+", t)]
+    n, chars = max(len(words), 1), len(t.decode())
+    per = lambda signs: sum(c in signs for c in t.decode() if c.isascii()) / max(chars, 1)
+    lines = [x for x in t.split(b"\n")]
+    if lines and not lines[-1]:
+        lines.pop()
+    seen, again = set(), 0
+    for line in lines:
+        w = re.findall(rb"[A-Za-z0-9\x80-\xff]+", line.lower())
+        key = tuple(sorted(w))  # a line's words in any order
+        again += len(w) * (key in seen)
+        seen.add(key) if w else None
+    fives = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    count = max(len(lines), 1)
+    upper, digit, white = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+    return [
+        log1p(chars), log1p(len(words)), sum(map(len, words)) / n, log1p(max(map(len, words), default=0)), len(set(words)) / n, max(Counter(words).values(), default=0) / n, per(upper), per(digit), per("#$%&*+<=>@^~\\/_{}[]"), per(".,;:?"), per("!"), per(white),
+        log1p(count), log1p(chars / count), again / n, sum(a == b for a, b in zip(words, words[1:])) / n, (len(fives) - len(set(fives))) / n, per("|"),
+    ]
+
+
+def test_statistics_equal_plain_ones(rows):
+    texts = [r[1] for r in rows] + [a[1] for a in AWKWARD] + ["a b c d e a b c d e\n\nx y\ny x\n", "!!|| Tab\there 12 no no no", "\n\n", "one line\r\nand one\r\n"]
+    x, has = quality.statistics(pa.array(texts, pa.string()))
+    want = np.array([_plain_statistics(t) for t in texts])
+    assert np.allclose(x, want), [(i, quality.FEATURES[j]) for i, j in np.argwhere(~np.isclose(x, want))[:5]]
+    assert has.tolist() == [w[1] > 0 for w in want]
+
+
 def test_quality_of_awkward_rows(spark, awkward, empty, labels):
     none = labels.limit(0)
     flat = quality.fit(awkward, none)
