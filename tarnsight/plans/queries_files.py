@@ -198,12 +198,12 @@ d as (select vec_id, list_inner_product(r, x) ** 2 / list_inner_product(r, r) as
 
 @query(
     f"""with recursive {_SIGNALS}, {_PAIRS.replace("a.p_partkey % 7 = 0 or ", "")}, {_SPLIT_DP}
-    select 'se.any.si_sdr.si_sdr_v1' as pipeline_id, 'si_sdr' as metric, round(avg(10 * log10((sx + 1e-8) / (xx - sx + 1e-8))), 4) as score from d
-    union all select 'se.any.dnsmos.dnsmos_v1', 'dnsmos', round(avg(label / 2.0), 4) from embeddings where vec_id + 2 <= (select max(vec_id) from embeddings)
-    union all select 'tse.any.si_sdri.si_sdr_v1', 'si_sdri', round(avg(10 * log10(sx / (xx - sx)) - 10 * log10(sm / (mm - sm))), 4) from d
-    union all select 'tts.en.wer.whisper_large_v3_v1.whisper_norm_v1.wenet_wer_v1', 'wer', round((sum(sub) + sum(del) + sum(ins))::double / sum(n), 4) from split
-    union all select 'tts.en.utmos.utmos_v1', 'utmos', round(avg(p_size / 10.0), 4) from part
-    union all select 'vc.any.wavlm_large_sim.wavlm_large_sim_v1', 'wavlm_large_sim', round(avg(p_partkey % 100 / 100.0), 4) from part"""
+    select 'se.any.si_sdr.si_sdr_v1' as pipeline_id, 'si_sdr' as metric, round(avg(10 * log10((sx + 1e-8) / (xx - sx + 1e-8))), 6) as score from d
+    union all select 'se.any.dnsmos.dnsmos_v1', 'dnsmos', round(avg(label / 2.0), 6) from embeddings where vec_id + 2 <= (select max(vec_id) from embeddings)
+    union all select 'tse.any.si_sdri.si_sdr_v1', 'si_sdri', round(avg(10 * log10(sx / (xx - sx)) - 10 * log10(sm / (mm - sm))), 6) from d
+    union all select 'tts.en.wer.whisper_large_v3_v1.whisper_norm_v1.wenet_wer_v1', 'wer', round((sum(sub) + sum(del) + sum(ins))::double / sum(n), 6) from split
+    union all select 'tts.en.utmos.utmos_v1', 'utmos', round(avg(p_size / 10.0), 6) from part
+    union all select 'vc.any.wavlm_large_sim.wavlm_large_sim_v1', 'wavlm_large_sim', round(avg(p_partkey % 100 / 100.0), 6) from part"""
 )
 def audio_reports(spark, sf_dir):
     """Enhancement, extraction, synthesis and conversion: signals from the table, transcripts and model scores from providers."""
@@ -218,7 +218,7 @@ def audio_reports(spark, sf_dir):
     out = out.unionByName(pipelines.run("tse", {"samples": s}, metric="si_sdri"))
     out = out.unionByName(pipelines.run("tts", {"samples": speech.select("sample_id", "reference_text", "p_size"), "providers": given}, "en", ["wer", "utmos"]))
     out = out.unionByName(pipelines.run("vc", {"samples": speech.select("sample_id", "reference_text"), "providers": given}, metric="wavlm_large_sim"))
-    return out.withColumn("score", F.round("score", 4))
+    return out.withColumn("score", F.round("score", 6))
 
 
 @query(

@@ -192,12 +192,31 @@ def cp_error_rate(spark, sf_dir):
     return diarization.cpwer(ref, hyp)
 
 
-@query()
+@query(
+    """with l(lang, metric, normal, scorer, canon) as (values ('zh', 'cer', 'wetext_norm_zh_itn_v1', 'wenet_cer_v1', 'token_cer_v1'), ('en', 'wer', 'whisper_norm_v1', 'wenet_wer_v1', 'token_mer_v1'), ('cs', 'mer', 'aispeech_norm_v1', 'wenet_mer_v1', 'token_mer_v1')),
+    m(name) as (values ('wavlm_large_sim'), ('ecapa_tdnn_sim'), ('eres2net_sim'), ('dnsmos'), ('wv_mos'), ('utmos')), speech(task) as (values ('tts'), ('vc'), ('tse')),
+    r(task, "language", metric, nodes, roles, selectors, is_default) as (
+      select 'asr', lang, metric, normal || '.' || scorer, 'ref,hyp', '', true from l
+      union all select 'asr', lang, metric, 'aispeech_norm_v1.' || scorer, 'ref,hyp', 'normalizer=aispeech', false from l where lang <> 'cs'
+      union all select 'asr', lang, metric, 'canonical_itn_' || lang || '_v1.' || canon, 'ref,hyp', 'normalizer=canonical', false from l
+      union all select 's2tt', lang, x.metric, x.node || '_v1', case when x.metric = 'xcomet_xl' then 'src,ref,hyp' else 'ref,hyp' end, '', true from l, (values ('bleu', 'sacrebleu'), ('bleu_char', 'sacrebleu'), ('chrf', 'sacrebleu'), ('xcomet_xl', 'xcomet_xl'), ('bleurt_20', 'bleurt_20')) as x(metric, node) where lang <> 'cs'
+      union all values ('sd', 'any', 'der', 'meeteval_v1', 'ref_segments,hyp_segments', '', true), ('sa_asr', 'any', 'cpwer', 'stm_to_txt_v1.gstar_norm_v1.txt_to_stm_v1.meeteval_v1', 'ref_segments,hyp_segments', '', true)
+      union all select task, lang, metric, case lang when 'zh' then 'paraformer_zh_v1.' else 'whisper_large_v3_v1.' end || normal || '.' || scorer, 'samples,transcripts', '', true from speech, l where lang <> 'cs'
+      union all select task, 'any', name, name || '_v1', 'samples,provider', '', true from speech, m
+      union all values ('vc', 'any', 'cer_two_pass', 'paraformer_zh_v1.paraformer_zh_v1.wenet_cer_v1', 'samples,transcripts', '', false), ('se', 'any', 'si_sdr', 'si_sdr_v1', 'signals', '', true), ('tse', 'any', 'si_sdr', 'si_sdr_v1', 'signals', '', true), ('tse', 'any', 'si_sdri', 'si_sdr_v1', 'signals', '', true)
+      union all select 'se', 'any', x, x || '_v1', 'samples,provider', '', true from (select unnest(['stoi', 'pesq', 'dnsmos', 'wv_mos', 'utmos']) as x)
+      union all select x, 'any', 'accuracy', 'classify_v1', 'ref,hyp', '', true from (select unnest(['classification', 'ser', 'gr']) as x)
+      union all values ('slu', 'any', 'accuracy', 'prompt_norm_v1.classify_v1', 'ref,hyp,choices', '', true)
+      union all select 'kws', 'any', y, x || '_v1.wekws_det_v1', 'samples', 'input_mode=' || x, x = 'json_pair' from (select unnest(['json_pair', 'wekws_score_ctc', 'wekws_frame_score']) as x), (select unnest(['accuracy', 'macro_recall']) as y))
+    select *, task || '.' || "language" || '.' || metric || '.' || nodes as pipeline_id from r"""
+)
 def route_catalog(spark, sf_dir):
     """Every evaluation route with its identity."""
     from .routes import catalog
 
-    return catalog(spark)
+    c = catalog(spark)
+    chosen = F.array_join(F.transform(F.map_entries("selectors"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return c.select("task", "language", "metric", F.array_join("nodes", ".").alias("nodes"), F.array_join("roles", ",").alias("roles"), chosen.alias("selectors"), "is_default", "pipeline_id")
 
 
 @query(
