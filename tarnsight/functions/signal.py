@@ -109,6 +109,48 @@ def resample_polyphase(samples: pd.Series, source: pd.Series, target: pd.Series)
     return pd.Series([x if x is None or not len(x) else polyphase(np.asarray(x, float), int(b), int(a)) for x, a, b in zip(samples, source, target)])
 
 
+def _frames(x: np.ndarray, size: int, hop: int) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(x, size)[:-1:hop] if len(x) > size else np.zeros((0, size))
+
+
+def intelligibility(clean: np.ndarray, heard: np.ndarray, rate: int) -> float:
+    """Short-time objective intelligibility (Taal and others, 2011): mean correlation of one-third octave envelopes over 384 ms.
+
+    Frames more than 40 dB below the loudest clean one are left out; 1e-5 where fewer than 30 are left. The rate becomes 10 kHz.
+    """
+    x, y = (polyphase(np.asarray(a, float), 10_000, rate) for a in (clean, heard))
+    n = min(len(x), len(y))
+    window = np.hanning(258)[1:-1]
+    a, b = (_frames(s[:n], 256, 128) * window for s in (x, y))
+    level = 20 * np.log10(np.linalg.norm(a, axis=1) + 1e-12)
+    loud = level > level.max(initial=-np.inf) - 40
+    joined = []
+    for f in (a[loud], b[loud]):
+        out = np.zeros(128 * (len(f) + 1))
+        for i, frame in enumerate(f):
+            out[128 * i : 128 * i + 256] += frame
+        joined.append(np.abs(np.fft.rfft(_frames(out, 256, 128) * window, 512)) ** 2)
+    freq = np.linspace(0, 5_000, 257)
+    middle = 150 * 2.0 ** (np.arange(15) / 3)
+    bands = np.zeros((15, 257))
+    for i, m in enumerate(middle):
+        lo, hi = (np.argmin((freq - m * 2.0**e) ** 2) for e in (-1 / 6, 1 / 6))
+        bands[i, lo:hi] = 1
+    a, b = (np.sqrt(p @ bands.T).T for p in joined)  # band x frame
+    if a.shape[1] < 30:
+        return 1e-5
+    u, v = (np.lib.stride_tricks.sliding_window_view(e, 30, axis=1) for e in (a, b))
+    v = np.minimum(v * (np.linalg.norm(u, axis=2, keepdims=True) / (np.linalg.norm(v, axis=2, keepdims=True) + 1e-15)), u * (1 + 10 ** (15 / 20)))
+    u, v = (e - e.mean(2, keepdims=True) for e in (u, v))
+    return float(((u * v).sum(2) / (np.linalg.norm(u, axis=2) * np.linalg.norm(v, axis=2) + 1e-15)).mean())
+
+
+@F.pandas_udf(T.DoubleType())
+def stoi(reference: pd.Series, estimate: pd.Series, rate: pd.Series) -> pd.Series:
+    """Short-time objective intelligibility of estimates against clean references."""
+    return pd.Series([None if r is None or e is None else intelligibility(r, e, int(f)) for r, e, f in zip(reference, estimate, rate)], dtype=float)
+
+
 @F.pandas_udf(T.DoubleType())
 def sliding_mean(samples: pd.Series, rate: pd.Series) -> pd.Series:
     """Mean root-mean-square level over 9.01 s windows, 1 s apart; a short clip repeats itself, a short tail is left out."""

@@ -6,6 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..runtime import staged, unused
+
+
+def places(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """rows with their number in a global order, from 1, without one task for all of them.
+
+    They are sorted by ranges and written with their partition and number in it; a partition's offset comes from a table of a row each.
+    """
+    part, at, of, offset = unused(rows, "_part", "_at", "_of", "_offset")
+    mask = F.lit((1 << 33) - 1).cast("long")  # the row's part of monotonically_increasing_id
+    done = staged(rows.orderBy(*order).withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND(mask)), "places")
+    counts = done.groupBy(F.col(part).alias(of)).agg(F.count("*").alias(offset))
+    before = F.coalesce(F.sum(offset).over(Window.orderBy(of).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return done.join(counts.withColumn(offset, before), F.col(part) == F.col(of)).withColumn(name, F.col(offset) + F.col(at) + 1).select(*rows.columns, name)
+
+
+def successors(rows: DataFrame, order: list[str], column: str, name: str) -> DataFrame:
+    """Each row but the last with a column of the row after it in a global order."""
+    at = unused(rows, "_place")[0]
+    numbered = places(rows, order, at)
+    return numbered.join(numbered.select((F.col(at) - 1).alias(at), F.col(column).alias(name)), at).drop(at)
+
 
 def last_wins(rows: DataFrame, order: list[str], key: str = "key") -> DataFrame:
     """One row a key, the last by the columns of `order`."""
@@ -54,10 +76,8 @@ def triples(src: DataFrame, ref: DataFrame, hyp: DataFrame, key: str = "key", te
 
 
 def positional(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
-    """Rows paired by place in either order, from 1. One global sort a side."""
-    a = left.withColumn("place", F.row_number().over(Window.orderBy(*left_order)))
-    b = right.withColumn("place", F.row_number().over(Window.orderBy(*right_order)))
-    return a.join(b, "place")
+    """Rows paired by place in either order, from 1."""
+    return places(left, left_order).join(places(right, right_order), "place")
 
 
 def with_baseline(scores: DataFrame, baselines: DataFrame, key: str = "dataset", separator: str = "__") -> DataFrame:

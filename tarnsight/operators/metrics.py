@@ -150,10 +150,14 @@ def least_error(points: DataFrame) -> DataFrame:
 
 
 def ngram_counts(pairs: DataFrame, tokenise, orders: int = 4) -> DataFrame:
-    """(order, matched, total, ref_total) of clipped n-gram counts over all pairs, for pairs with an `id`."""
-    t = pairs.select("id", tokenise(F.col("ref")).alias("r"), tokenise(F.col("hyp")).alias("h"))
-    side = lambda c, s: t.select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("order"), tokens.ngrams(F.col(c), n).alias("g")) for n in range(1, orders + 1)])).alias("x")).select("id", "x.order", F.explode("x.g").alias("gram")).withColumn("side", F.lit(s))
-    rows = side("h", 0).unionByName(side("r", 1)).groupBy("id", "order", "gram").agg(F.count_if(F.col("side") == 0).alias("nh"), F.count_if(F.col("side") == 1).alias("nr"))
+    """(order, matched, total, ref_total) of clipped n-gram counts over all pairs, for pairs with an `id`.
+
+    Pairs are exchanged once, by id; their n-grams are counted where they arise.
+    """
+    t = align.spread(pairs.select("id", "ref", "hyp"), "id").select("id", tokenise(F.col("ref")).alias("r"), tokenise(F.col("hyp")).alias("h"))
+    grams = F.array(*[F.struct(F.lit(n).alias("order"), F.lit(s).alias("side"), tokens.ngrams(F.col(c), n).alias("g")) for n in range(1, orders + 1) for s, c in ((0, "h"), (1, "r"))])
+    each = t.select("id", F.explode(grams).alias("x")).select("id", "x.order", "x.side", F.explode("x.g").alias("gram"))
+    rows = each.groupBy("id", "order", "gram").agg(F.count_if(F.col("side") == 0).alias("nh"), F.count_if(F.col("side") == 1).alias("nr"))
     return rows.groupBy("order").agg(F.sum(F.least("nh", "nr")).cast("long").alias("matched"), F.sum("nh").cast("long").alias("total"), F.sum("nr").cast("long").alias("ref_total"))
 
 

@@ -149,6 +149,8 @@ def audio(samples: DataFrame, task: str, wanted: list[str], language: str | None
                 gain = value - signal.si_sdr(F.col("reference"), F.col("mixed"), kind)
                 value = F.when(F.isnan(gain), 0.0).otherwise(gain)
             one = samples.agg(signal.finite_mean(value).alias("score"))
+        elif name == "stoi" and providers.get(name) is None and {"prediction", "reference", "rate"} <= set(samples.columns):
+            one = samples.agg(F.avg(signal.stoi("reference", "prediction", "rate")).alias("score"))
         elif name in SPEAKERS + OPINIONS + ("stoi", "pesq"):
             one = metrics.provider_summary(_provided(samples, providers.get(name), "sample_id"), "score").select("score")
         else:

@@ -39,6 +39,9 @@ from (select count(*) as num_pairs, sum(n)::bigint as num_tokens, sum(cor)::bigi
 _SPLIT = r"list_filter(string_split_regex(trim(regexp_replace({0}, '[ \t\r\n]+', ' ', 'g')), ' '), lambda w: w <> '')"
 
 
+SALTS = 8
+
+
 def _turns(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     key = F.concat_ws("|", "conv_id", "turn")
@@ -327,7 +330,10 @@ def multi_row_concat(spark, sf_dir):
 def embedding_cosine_pairs(spark, sf_dir):
     """Similarity of all pairs of the same label."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    p = e.join(e.select(F.col("vec_id").alias("other"), F.col("label").alias("l2"), F.col("embedding").alias("e2")), (F.col("label") == F.col("l2")) & (F.col("other") > F.col("vec_id")))
+    # a label's pairs are shared by SALTS tasks: one side goes to one of them, the other to all
+    left = e.withColumn("salt", F.pmod("vec_id", F.lit(SALTS)).cast("int"))
+    right = e.select(F.col("vec_id").alias("other"), F.col("label").alias("l2"), F.col("embedding").alias("e2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s2"))
+    p = left.join(right, (F.col("label") == F.col("l2")) & (F.col("salt") == F.col("s2")) & (F.col("other") > F.col("vec_id")))
     return p.select("vec_id", "other", F.round(signal.cosine(F.col("embedding"), F.col("e2")), 6).alias("similarity"))
 
 
@@ -346,7 +352,7 @@ def embedding_centroid(spark, sf_dir):
 )
 def si_sdr_embeddings(spark, sf_dir):
     """Vectors as signals against the next one, under both definitions."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lead("embedding").over(Window.orderBy("vec_id")).alias("r")).where("r is not null")
+    e = alignment.successors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), ["vec_id"], "embedding", "r")
     return e.select("vec_id", F.round(signal.si_sdr(F.col("r"), F.col("embedding"), "tse"), 4).alias("tse"), F.round(signal.si_sdr(F.col("r"), F.col("embedding"), "se"), 4).alias("se"))
 
 
@@ -363,7 +369,7 @@ def bleu_ngram_stats(spark, sf_dir):
 
 def _neighbours(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("ref"))
-    return b.withColumn("hyp", F.lead("ref").over(Window.orderBy("id"))).where("hyp is not null")
+    return alignment.successors(b, ["id"], "ref", "hyp")
 
 
 @query("select event_id, (props->>'$.k')::bigint as k from events")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 DIALECTS = ("counted", "lenient", "strict", "scorer", "whitespace", "prediction", "columns")
 
@@ -97,5 +96,7 @@ def joined_by_key(rows: DataFrame, separator: str = " ") -> DataFrame:
 
 
 def numbered(rows: DataFrame, by: str = "line_at", name: str = "line_no") -> DataFrame:
-    """A dense number in file order, from 1. Needs one global order: for small positional comparisons."""
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(by)))
+    """A dense number in file order, from 1."""
+    from ..operators.alignment import places
+
+    return places(rows, [by], name)

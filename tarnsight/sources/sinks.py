@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import json
 import math
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,8 +119,8 @@ def markdown(df: DataFrame, limit: int = 1000) -> str:
     return "\n".join([head, *("| " + " | ".join("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows), *([f"\nThe first {limit} rows."] if more else [])])
 
 
-def protocol(path: Path | str, run: dict) -> None:
-    """Run metadata as simple YAML (nested mappings and lists of scalars)."""
+def protocol(path: str, run: dict) -> None:
+    """Run metadata as simple YAML (nested mappings and lists of scalars), through Hadoop's file system."""
 
     def lines(value, depth):
         for k, v in value.items():
@@ -135,4 +134,5 @@ def protocol(path: Path | str, run: dict) -> None:
             else:
                 yield f"{pad}{k}: {json.dumps(plain(v), ensure_ascii=False)}"
 
-    Path(path).write_text("\n".join(lines(run, 0)) + "\n", encoding="utf-8")
+    spark = SparkSession.getActiveSession()
+    write_text(spark.range(0), spark, str(path), "\n".join(lines(run, 0)) + "\n")

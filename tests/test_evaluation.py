@@ -164,3 +164,60 @@ def test_a_missing_translation_lowers_bleu(spark):
     ref = keyed(spark, [(str(i), "one two three four five six") for i in range(4)])
     whole, part = (pipelines.s2tt(ref, h).first() for h in (ref, ref.where("line_at < 3")))
     assert whole.score > 99.9 and part.score < 80 and part.hyp_length == 18
+
+
+def test_intelligibility_falls_with_noise(spark):
+    from tarnsight.plans import pipelines
+
+    rng = np.random.default_rng(0)
+    t = np.arange(32_000) / 16_000
+    clean = sum(np.sin(2 * np.pi * f * t) * (1 + np.sin(2 * np.pi * m * t)) for f, m in ((300, 3), (900, 4), (2200, 5)))
+    scores = [signal.intelligibility(clean, clean + a * rng.normal(size=len(t)), 16_000) for a in (0, 0.3, 1, 3, 10)]
+    assert scores[0] > 0.999 and all(a > b for a, b in zip(scores, scores[1:])) and signal.intelligibility(clean[:1000], clean[:1000], 16_000) == 1e-5
+    assert abs(signal.intelligibility(clean, 7 * clean, 16_000) - 1) < 1e-6
+    df = spark.createDataFrame([("a", clean.tolist(), clean.tolist(), 16_000)], "sample_id string, prediction array<double>, reference array<double>, rate int")
+    assert pipelines.run("se", {"samples": df}, metric="stoi").first().score > 0.999
+
+
+def test_providers(spark):
+    import http.server
+    import json
+    import sys
+    import threading
+
+    from tarnsight.plans import providers
+
+    df = spark.createDataFrame([(str(i), f"p{i}") for i in range(7)], "sample_id string, path string").coalesce(1)
+    schema = "sample_id string, transcript string"
+    script = "import sys, json\nfor x in sys.stdin: print(json.dumps({'transcript': json.loads(x)['path'] + '!'}))"
+    want = {str(i): f"p{i}!" for i in range(7)}
+    got = lambda p: {r.sample_id: r.transcript for r in p(df).collect()}
+    assert got(providers.subprocess_provider([sys.executable, "-c", script], ["path"], schema, batch=3)) == want
+    with pytest.raises(Exception, match="0 answers for 3"):
+        got(providers.subprocess_provider([sys.executable, "-c", "pass"], ["path"], schema, batch=3))
+    assert got(providers.function_provider(["path"], schema, each=lambda r: {"transcript": r["path"] + "!"})) == want
+    assert got(providers.function_provider(["path"], schema, whole=lambda rows: [{"transcript": r["path"] + "!"} for r in rows])) == want
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            rows = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["samples"]
+            body = json.dumps({"results": [{"transcript": r["path"] + "!"} for r in rows]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    assert got(providers.server_provider(f"http://127.0.0.1:{server.server_port}/", ["path"], schema, batch=2)) == want
+    server.shutdown()
+
+
+def test_places_are_a_global_order(spark):
+    df = spark.range(100, 0, -1, 5).withColumnRenamed("id", "k").withColumn("_part", F.lit(1))
+    got = alignment.places(df, ["k"]).collect()
+    assert sorted((r.k, r.place) for r in got) == [(i, i) for i in range(1, 101)] and set(got[0].asDict()) == {"k", "_part", "place"}
+    assert sorted((r.k, r.after) for r in alignment.successors(df, ["k"], "k", "after").collect()) == [(i, i + 1) for i in range(1, 100)]
+    assert alignment.places(df.limit(0), ["k"]).count() == 0
