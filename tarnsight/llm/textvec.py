@@ -78,7 +78,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(column: pa.Array, size: int = 4 << 20):
+def pieces(column: pa.Array, size: int = 1 << 20):
     """(first row, bytes, offsets) of runs of rows of about `size` bytes; a longer text is a run of its own."""
     buf, off = text_bytes(column)
     n, i = len(off) - 1, 0
