@@ -59,7 +59,7 @@ def _repeats(owner: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) ->
 def statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(n x FEATURES, n bool): statistics of each text, and which texts have words."""
     out, has = [], []
-    for _, buf, off in tv.pieces(column, 1 << 19):
+    for _, buf, off in tv.pieces(column, 1 << 18):
         n = len(off) - 1
         w = tv.words(buf, off)
         owner = w.owner()

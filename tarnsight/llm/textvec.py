@@ -5,12 +5,18 @@ A null text has no words, like an empty one. Bytes of 0x80 and above count as le
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018  glibc alone has it
+except (OSError, AttributeError):
+    _LIBC = None
 _VALUES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(U) | U(1)
 _VALUES[0] = 0
 _BASE = 0x9E3779B97F4A7C15
@@ -79,13 +85,19 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(column: pa.Array, size: int = 1 << 20):
-    """(first row, bytes, offsets) of runs of rows of about `size` bytes; a longer text is a run of its own."""
+    """(first row, bytes, offsets) of runs of rows of about `size` bytes; a longer text is a run of its own.
+
+    After the last one, memory that the allocators hold without need goes back to the system: workers are kept between stages.
+    """
     buf, off = text_bytes(column)
     n, i = len(off) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
         yield i, buf[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def _sums(mapped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
