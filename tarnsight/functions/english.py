@@ -40,8 +40,9 @@ def basic(s: str, fold: bool = False, letters: bool = False) -> str:
     """Any language: lower case, bracketed parts and signs out; with fold no diacritics, with letters a blank between graphemes."""
     import regex
 
-    s = without_signs(re.sub(r"[<\[][^>\]]*[>\]]|\([^)]+\)", "", s.lower()), fold=fold).lower()
-    return " ".join(" ".join(regex.findall(r"\X", s)).split() if letters else s.split())
+    s = without_signs(_ASIDE.sub("", s.lower()), fold=fold).lower()
+    units = (m[0] for m in regex.finditer(r"\X", s)) if letters else s.split()
+    return " ".join(u for u in units if u.strip())
 
 
 def _spell_out(s: str) -> str:
@@ -82,10 +83,11 @@ def _number_words() -> dict[str, tuple[str, int, str]]:
 
 
 WORDS = _number_words()
-_SIGN = {"minus": "-", "negative": "-", "plus": "+", "positive": "+"}
-_MONEY = {"pound": "£", "pounds": "£", "euro": "€", "euros": "€", "dollar": "$", "dollars": "$", "cent": "¢", "cents": "¢"}
+_SIGN = {w: c for c, names in (("-", "minus negative"), ("+", "plus positive")) for w in names.split()}
+_MONEY = {name + end: c for c, name in zip("$€£¢", ("dollar", "euro", "pound", "cent")) for end in ("", "s")}
+_ASIDE = re.compile(r"[\[<][^\]>]*[\]>]|\([^)]+\)")  # what stands in brackets
 _TIMES = {"double": 2, "triple": 3}
-_FIGURE = re.compile(r"([-+$£€¢]?)(\d+(?:\.\d+)?)")
+_FIGURE = re.compile(r"([-+$€£¢]?)(\d+(?:[.]\d+)?)")
 
 
 class _Reader:
@@ -146,7 +148,7 @@ class _Reader:
 def numbers(s: str) -> str:
     """Spelled numbers as digits: cardinals, years, decimals, ordinals, plurals, signs, percent, currency with cents, double and triple, halves."""
     s = re.sub(r"(?<=[a-z])(?=\d)|(?<=\d)(?=[a-z])", " ", s)
-    s = re.sub(r"(?<=\d) +(st|nd|rd|th|s)\b", r"\1", s)
+    s = re.sub(r"(?<=\d) +(?=(?:th|s|rd|nd|st)\b)", "", s)
     words = s.split()
     halves = [i for i in range(1, len(words) - 2) if words[i : i + 3] == ["and", "a", "half"] and (words[i - 1] in WORDS and not WORDS[words[i - 1]][2])]
     for i in reversed(halves):
@@ -190,9 +192,10 @@ def numbers(s: str) -> str:
             r.say(w)
     r.close()
     s = " ".join(r.out)
-    s = re.sub(r"([€£$])(\d+) (?:and )?¢(\d{1,2})\b", lambda m: f"{m[1]}{m[2]}.{int(m[3]):02d}", s)
-    s = re.sub(r"[€£$]0\.(\d{1,2})\b", lambda m: f"¢{int(m[1])}", s)
-    return re.sub(r"\b1(s?)\b", r"one\1", s)
+    # money and its cents are one amount; one of no whole unit is cents alone; a lone one stays a word
+    s = re.sub(r"(?<=[$€£])(?P<whole>\d+)(?: and)? ¢(?P<part>\d\d?)\b", lambda m: f"{m['whole']}.{int(m['part']):02d}", s)
+    s = re.sub(r"[$€£]0[.](?P<part>\d\d?)\b", lambda m: f"¢{int(m['part'])}", s)
+    return re.sub(r"\b1(?=s?\b)", "one", s)
 
 
 @lru_cache(1)
@@ -228,11 +231,11 @@ def read_spelling(path: str) -> dict[str, str]:
 def english(s: str, spelling: dict[str, str] | None = None) -> str:
     """English as scored; spelling: words to be replaced (American for British ones where none is given)."""
     known = american() if spelling is None else spelling
-    s = re.sub(r"[<\[][^>\]]*[>\]]|\([^)]+\)", "", s.lower())
+    s = _ASIDE.sub("", s.lower())
     s = _spell_out(re.sub(r"\s+(?=')", "", s))
     s = re.sub(r"(?<=\d),(?=\d)", "", s)
     s = without_signs(re.sub(r"\.(?!\d)", " ", s), keep=".%$¢€£")
     words = [known.get(w, w) for w in numbers(s).split()]
     # what is left of number signs counts only beside digits
-    s = re.sub(r"[.$¢€£](?!\d)", " ", " ".join(words))
+    s = re.sub(r"[$€£¢.](?!\d)", " ", " ".join(words))
     return " ".join(re.sub(r"(?<!\d)%", " ", s).split())

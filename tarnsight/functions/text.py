@@ -59,7 +59,7 @@ def punctuation_to_space(x: Column) -> Column:
 
 def basic_normalise(x: Column) -> Column:
     """Lower case, bracketed parts out, marks and signs to blanks, collapsed; `spoken.chain("basic")` also folds compatibility forms."""
-    unbracketed = F.regexp_replace(F.lower(x), r"[<\[][^>\]]*[>\]]|\([^)]+\)", "")
+    unbracketed = F.regexp_replace(F.lower(x), r"[\[<][^\]>]*[\]>]|\([^)]+\)", "")
     return collapse(F.regexp_replace(unbracketed, r"[\p{M}\p{S}\p{P}]", " "))
 
 

@@ -13,7 +13,7 @@ from decimal import Decimal
 
 from .spoken import HAN_DIGIT, words_en, words_zh
 
-_LAST = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
+_LAST = dict(x.split("=") for x in "twelve=twelfth one=first nine=ninth two=second eight=eighth three=third five=fifth".split())
 
 
 def cardinal(number: str, zh: bool) -> str:
@@ -64,7 +64,7 @@ def _pair(m: re.Match) -> str:
 
 Rule = tuple[str, "str | Callable[[re.Match], str]"]
 _MEASURES = {"kg": "千克", "km": "千米", "cm": "厘米", "mm": "毫米", "ml": "毫升", "l": "升", "m": "米"}
-_N = r"(\d+(?:\.\d+)?)"
+_N = r"(\d+(?:[.]\d+)?)"
 RULES: dict[str, list[Rule]] = {
     "zh": [
         (r"[零一二三四五六七八九]{2}", _pair),  # digits read one by one: 一五 is 十五
@@ -72,7 +72,7 @@ RULES: dict[str, list[Rule]] = {
         (r"°\s*C", "摄氏度"),
         (_N + r"\s*m([23])(?![0-9A-Za-z])", lambda m: m[1] + {"2": "平方米", "3": "立方米"}[m[2]]),
         (r"(\d{4})\s*[/-]\s*(\d\d?)\s*[/-]\s*(\d\d?)", r"\1年\2月\3日"),
-        (r"(?<!\d[-/])(\d+)\s*/\s*(\d+)(?![-/]\d)", r"\2分之\1"),
+        (r"(?<!\d[-/])(?P<top>\d+)\s*/\s*(?P<low>\d+)(?![-/]\d)", lambda m: f"{m['low']}分之{m['top']}"),
         (_N + r"\s*%", r"百分之\1"),
         (r"(?<![A-Za-z0-9])\s*-\s*(\d+)", r"负\1"),
         (_N + rf"\s*({'|'.join(_MEASURES)})(?![A-Za-z])", lambda m: m[1] + _MEASURES[m[2]]),
@@ -80,7 +80,7 @@ RULES: dict[str, list[Rule]] = {
     "en": [
         (r"(\d+)'", r"\1 feet"),
         (r"(?i)\b(\d+)(?:st|nd|rd|th)\b", lambda m: ordinal(int(m[1]))),
-        (r"\$(\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?)", lambda m: dollars(m[1])),
+        (r"[$](?P<sum>\d\d?\d?(?:,\d\d\d)*(?:[.]\d\d?)?)", lambda m: dollars(m["sum"])),
         (r"\b(\d{4})s\b", _decade),
         (r"\b(?:\d{3}-)?\d{3}-\d{4}\b", _digits),
         (r"(?<!\w)-\s*" + _N, r"minus \1"),
@@ -93,9 +93,9 @@ def read_rules(lines: list[str], language: str) -> list[tuple[str, str]]:
     out = []
     for line in lines:
         line = " ".join(line.split()).partition("#")[0]
-        if not line:
+        parts = line.split("|" if line.count("|") == 1 else None)
+        if not parts:
             continue
-        parts = line.split("|") if line.count("|") == 1 else line.split()
         if len(parts) != 2:
             raise ValueError(f"no rule: {line!r}")
         a, b = (x.strip() for x in parts)
@@ -192,7 +192,7 @@ def clean(s: str, language: str = "en", alphabet: str | None = None, fold: bool
     alphabet: a set of characters (as for `code_points`); all others become blanks. fold: letters lose their diacritics.
     """
     s = s.translate(_NO_WIDTH)
-    s = "".join(" " if unicodedata.category(c)[0] in "CZ" and c not in "\n\t" else c for c in s)
+    s = "".join(c if c in "\n\t" or unicodedata.category(c)[0] not in "CZ" else " " for c in s)
     s = ascii_digits(unicodedata.normalize("NFKC", s))
     if fold:
         s = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn"))
