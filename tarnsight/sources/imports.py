@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.signal import milliseconds
 from ..functions.text import script_language
+from ..runtime import ship
 from .keytext import lines
 
-NESTED = "audios array<struct<aid:string,path:string,segments:array<struct<sid:string,begin_time:double,end_time:double,text:string,subsets:array<string>>>>>"
+NESTED = "struct<aid:string,path:string,segments:array<struct<sid:string,begin_time:double,end_time:double,text:string,subsets:array<string>>>>"
+
+
+def array_elements(spark: SparkSession, path: str, first_key: str) -> DataFrame:
+    """(value) the objects of one huge JSON array as texts, read in parallel: the file is split wherever first_key stands.
+
+    Every object must begin with that key, and none may hold it again inside; a file that is otherwise made raises.
+    """
+    ship(spark)
+
+    @F.pandas_udf("string")
+    def whole(chunks: pd.Series) -> pd.Series:
+        def one(chunk: str) -> str | None:
+            if not chunk.lstrip().startswith(":"):
+                return None  # what stands before the first object
+            text = f'{{"{first_key}"{chunk}'
+            _, end = json.JSONDecoder().raw_decode(text)
+            if not re.fullmatch(r"\s*(,\s*\{\s*|\][\s\S]*)", text[end:]):
+                raise ValueError(f"an object doesn't begin with {first_key}: {text[end : end + 80]!r}")
+            return text[:end]
+
+        return chunks.map(one)
+
+    pieces = spark.read.option("lineSep", f'"{first_key}"').text(path)
+    return pieces.select(whole("value").alias("value")).where("value is not null")
 
 
 def nested_segments(spark: SparkSession, path: str, subset: str, minimum: float = 0.01) -> DataFrame:
-    """Segments of a subset from JSON files of nested audios; a segment lasts at least `minimum` seconds."""
-    audio = spark.read.schema(NESTED).json(path, multiLine=True).select(F.explode("audios").alias("a"))
+    """Segments of a subset from JSON files of nested audios, however large; a segment lasts at least `minimum` seconds."""
+    audio = array_elements(spark, path, "aid").select(F.from_json("value", NESTED, {"mode": "FAILFAST"}).alias("a"))
     seg = audio.select("a.aid", "a.path", F.explode("a.segments").alias("s")).where(F.array_contains("s.subsets", subset))
     end = F.greatest(F.col("s.end_time"), F.col("s.begin_time") + minimum)
     return seg.select(F.col("s.sid").alias("key"), "path", F.col("s.text").alias("target"), F.col("s.begin_time").alias("begin_time"), end.alias("end_time"), milliseconds(F.col("s.begin_time"), end).alias("duration_ms"))

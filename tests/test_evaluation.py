@@ -221,3 +221,16 @@ def test_places_are_a_global_order(spark):
     assert sorted((r.k, r.place) for r in got) == [(i, i) for i in range(1, 101)] and set(got[0].asDict()) == {"k", "_part", "place"}
     assert sorted((r.k, r.after) for r in alignment.successors(df, ["k"], "k", "after").collect()) == [(i, i + 1) for i in range(1, 100)]
     assert alignment.places(df.limit(0), ["k"]).count() == 0
+
+
+def test_a_huge_array_is_read_in_pieces(spark, tmp_path):
+    import json
+
+    audios = [{"aid": f"a{i}", "path": f"p {i} {{x}}", "segments": [{"sid": f"s{i}{j}", "begin_time": 1.0 * j, "end_time": 1.0 * j, "text": 't "x", {', "subsets": ["L"] if j else ["S", "L"]} for j in range(2)]} for i in range(40)]
+    for name, indent in (("flat", None), ("pretty", 2)):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"set": "x", "audios": audios}, indent=indent))
+        got = imports.nested_segments(spark, str(tmp_path / f"{name}.json"), "S").collect()
+        assert sorted((r.key, r.path, r.target, r.duration_ms) for r in got) == sorted((f"s{i}0", f"p {i} {{x}}", 't "x", {', 10) for i in range(40))
+    (tmp_path / "bad.json").write_text(json.dumps({"audios": [{"path": "p", "aid": "a"}, {"path": "p", "aid": "a"}]}))
+    with pytest.raises(Exception, match="begin with aid"):
+        imports.nested_segments(spark, str(tmp_path / "bad.json"), "S").collect()
