@@ -632,6 +632,34 @@ def test_copies_share_a_cell():
     assert s[0] == s[1] == s[2] and s[3] not in (0, s[0]) and s[4] == s[5] == 0
 
 
+def test_cross_parse_streams_documents_in_bounded_batches(spark, docs, labels, tmp_path, monkeypatch):
+    # no group of documents is gathered in a worker, nor are their texts exchanged
+    plan = crossparse.score(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan and "Exchange hash" not in plan
+    # near copies, which share a min-hash and so a cell, however many they are
+    texts = [f"the same long passage of words that all of these begin with, and then {i} of its own" for i in range(400)]
+    assert len(set(crossparse.signature(pa.array(texts)).tolist())) < 200
+    monkeypatch.setattr(crossparse, "CHUNK", 500)
+    monkeypatch.setattr(crossparse, "BATCH", 2000)
+    to = crossparse.Writer(str(tmp_path))
+    for i, t in enumerate(texts):
+        to.add(t, i, False)
+    to.close()
+    taken, most, seen = [0], [0], {}
+
+    def batches():
+        for i, t in enumerate(texts):
+            taken[0] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array(["en"]), pa.array([t]), pa.array([0], pa.int64())], ["doc_id", "lang", "text", "cell"])
+
+    given = 0
+    for out in crossparse._score(batches(), {("en", 0): str(tmp_path)}, 4000):
+        most[0] = max(most[0], taken[0] - given)
+        given += out.num_rows
+        seen |= dict(zip(out["doc_id"].to_pylist(), out["cross_phrases"].to_pylist()))
+    assert most[0] < 30 and seen == {i: _greedy(t, texts[:i] + texts[i + 1 :]) for i, t in enumerate(texts)}
+
+
 def test_cross_parse_tells_languages_and_junk_apart(spark, docs, labels, awkward, empty):
     junk = spark.createDataFrame([(10**9 + i, "".join(random.Random(i).choice("qwxzkj#@") for _ in range(2000)), "en", "z", 2000) for i in range(5)], SCHEMA)
     both = crossparse.score(docs.unionByName(junk), labels).collect()
