@@ -660,6 +660,19 @@ def test_cross_parse_streams_documents_in_bounded_batches(spark, docs, labels, t
     assert most[0] < 30 and seen == {i: _greedy(t, texts[:i] + texts[i + 1 :]) for i, t in enumerate(texts)}
 
 
+def test_cross_parse_meets_all_reference_text_at_any_size(spark):
+    # 1.4 million characters of one language, more than a cell
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    texts = [" ".join(word() for _ in range(1000)) for _ in range(200)]
+    asked = ["".join(t[k : k + 50] for t in rng.sample(texts, 6) for k in [rng.randrange(4000)]) for _ in range(12)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts + asked)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    assert sum(map(len, texts)) > 1 << 20
+    got = {r.doc_id: r.cross_phrases for r in crossparse.score(df, labels).where("doc_id >= 200").collect()}
+    assert got == {200 + i: _greedy(z, texts) for i, z in enumerate(asked)}
+
+
 def test_cross_parse_tells_languages_and_junk_apart(spark, docs, labels, awkward, empty):
     junk = spark.createDataFrame([(10**9 + i, "".join(random.Random(i).choice("qwxzkj#@") for _ in range(2000)), "en", "z", 2000) for i in range(5)], SCHEMA)
     both = crossparse.score(docs.unionByName(junk), labels).collect()
