@@ -1,6 +1,8 @@
 """The ten operators against brute force, exact round trips and held-out labels, and on awkward tables."""
 
 import random
+import re
+import time
 from collections import Counter
 
 import duckdb
@@ -685,6 +687,41 @@ def test_cross_parse_tells_languages_and_junk_apart(spark, docs, labels, awkward
     assert crossparse.score(empty, labels).count() == 0
 
 
+def test_cross_parse_counts_in_the_jvm(spark, docs, labels, tmp_path, monkeypatch):
+    # texts aren't sent to Python
+    plan = crossparse.score(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"MapInArrow \w+\(doc_id#\w+, lang#\w+, counts#\w+\)", plan)
+    scorer = crossparse.scorer(spark)
+    rng = random.Random(4)
+    for k in range(25):
+        alphabet = rng.choice(["ab", "abc\0", "abcdefghij é日🙂", "".join(chr(300 + i) for i in range(400))])
+        texts = list({"".join(rng.choice(alphabet) for _ in range(rng.randint(1, 200))) for _ in range(rng.randint(1, 12))})
+        owners = [None if rng.random() < 0.2 else i // 2 for i in range(len(texts))]
+        pieces = [rng.random() < 0.3 for _ in texts]
+        monkeypatch.setattr(crossparse, "PART", rng.choice([250, 700, (1 << 21) - 2]))
+        to = crossparse.Writer(f"{tmp_path}/{k}")
+        for text in zip(texts, owners, pieces):
+            to.add(*text)
+        to.close()
+        scorer.add(None, k, f"{tmp_path}/{k}")
+        asked = [(o, t) for o, t in zip(owners, texts)] + [(0, "".join(rng.choice(alphabet + "Z") for _ in range(rng.randint(1, 300)))) for _ in range(6)]
+        for d, z in asked:
+            others = [t for t, o, p in zip(texts, owners, pieces) if o is None or o != d or not p and t != z]
+            got = scorer.call(d, None, k, z.encode())
+            want = _greedy(z, others) if others else None
+            assert (got.get(0), got.get(1), got.get(2)) == (len(z), want, None if want is None else crossparse.self_phrases(z))
+    # a long run of its own text, piece by piece, isn't compared at every place
+    monkeypatch.setattr(crossparse, "PART", 1 << 30)
+    to = crossparse.Writer(f"{tmp_path}/run")
+    for n in (100_000, 100_001):
+        to.add("a" * n, 1, True)
+    to.add("b aa aaa b", 2, False)
+    to.close()
+    scorer.add("en", 0, f"{tmp_path}/run")
+    began = time.time()
+    assert scorer.call(1, "en", 0, b"a" * 200_001).get(1) == 66_667 and time.time() - began < 30
+
+
 # --- near duplicates
 
 
