@@ -964,3 +964,37 @@ def test_a_tiny_source_does_not_shrink_the_mix(spark):
     assert got > 0.3 * total and got2 > 0.3 * total2 and want2 > 0.9 * want and {"tiny", None} <= short and "hot" not in short
     want, got, *_, short = kept(hot | {"tiny": (1, 3)}, budget=4000)
     assert abs(want - 4000) < 1e-6 and abs(got - 4000) <= 150 and "tiny" in short
+
+
+def test_several_threads_sort_one_reference(tmp_path, monkeypatch):
+    """The same files however many threads sort, over many chunks with long repeats across them."""
+    from tarnsight.llm import crossparse
+
+    rng, made = np.random.default_rng(5), {}
+    monkeypatch.setattr(crossparse, "CHUNK", 64)
+    long = "".join(rng.choice(list("abc"), 700))
+    texts = [long, long[:650] + "x", "ab" * 300, "a" * 200, *("".join(rng.choice(list("ab "), n)) for n in rng.integers(1, 60, 40))]
+    for threads in (1, 3, 5):
+        to = crossparse.Writer(f"{tmp_path}/{threads}", threads)
+        for i, t in enumerate(texts):
+            to.add(t, i, False)
+        to.close()
+        made[threads] = {n: (tmp_path / str(threads) / "0" / n).read_bytes() for n in ("sa", "head", "start", "run", "until", "words")}
+    assert made[1] == made[3] == made[5]
+    s = "".join(t + "\0" for t in texts)
+    sa = [p for p in np.frombuffer(made[3]["sa"], np.int32).tolist() if p < len(s) and s[p] != "\0"]
+    cut = [s[p : s.index("\0", p)] for p in sa]
+    assert cut == sorted(cut)
+
+
+def test_cores_of_an_executor(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tarnsight.llm import crossparse
+
+    def cores(**conf):
+        got = {f"spark.{k.replace('_', '.')}": v for k, v in conf.items()}
+        return crossparse._cores(SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: got)))
+
+    assert cores(master="local-cluster[3,2,3000]") == 2 and cores(master="local[4]") == 4 and cores(master="local") == 1
+    assert cores(master="yarn", executor_cores="4") == 4 and cores(master="yarn") == 1 and cores(master="local[400]") == crossparse.THREADS
