@@ -83,6 +83,19 @@ def keyword(x: Column) -> Column:
     return F.nullif(F.upper(F.regexp_replace(x, r"(?U)\s+", "")), F.lit(""))
 
 
+#: Letters whose upper case has several characters, and the one that stands for each in a mapping of single characters.
+_ONE_UPPER = {c: c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x80, 0xFB18)) if len(c.upper()) > 1 and c != "\u00DF"}
+
+
+def upper_each(x: Column) -> Column:
+    """Upper case character by character, as SQL engines without full case mapping have it: \u00DF becomes \u1E9E, not SS; a ligature stays."""
+    x = F.replace(x, F.lit("\u00DF"), F.lit("\u1E9E"))
+    odd = "".join(_ONE_UPPER)
+    table = F.create_map(*[F.lit(v) for kv in _ONE_UPPER.items() for v in kv])
+    parts = F.regexp_extract_all(x, F.lit(f"[{odd}]|[^{odd}]+"), F.lit(0))
+    return F.when(x.rlike(f"[{odd}]"), F.array_join(F.transform(parts, lambda t: F.coalesce(F.try_element_at(table, t), F.upper(t))), "")).otherwise(F.upper(x))
+
+
 def script_language(x: Column) -> Column:
     """ja for kana, else ko for Hangul, else zh for Han, else en."""
     return (

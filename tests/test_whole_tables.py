@@ -53,3 +53,17 @@ def test_whole_turns_in_cpwer(spark, monkeypatch):
     catalog.QUERIES["cp_error_rate"](spark, SF)
     want = sum(len(r.text.split()) for r in spark.read.parquet(f"{SF}/conversations.parquet").where("role <> 'system'").collect())
     assert sum(len(r.words.split()) for r in seen["ref"].collect()) == want
+
+
+def test_turns_have_the_upper_case_and_the_words_of_their_sql(spark, tmp_path):
+    """A capital sharp s is one letter and no SS; ligatures, Greek with iota, tags and unusual blanks are as in SQL."""
+    turns = ["stra\u00DFe \u00DF \uFB01n \u1F80 <b>x</b> a\u00A0b", "strasse ss fin \u1F88 x a b", "ss \u00DFa\tb", "\u00DF SSA b \r\n c", "\u00DF <unk>", "\u1E9E ", None, "x", "y", None]
+    made = spark.createDataFrame([(i // 4, i % 4, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    made.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    for name in ("wer_conversation_turns", "wer_decomposed", "session_macro_vs_micro"):
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(catalog.ORACLES[name])
+        order = [c[0] for c in want.description]
+        assert [tuple(r[c] for c in order) for r in got.collect()] == want.fetchall(), name
