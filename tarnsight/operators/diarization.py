@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import tokens
 from ..functions.align import distance
@@ -61,13 +63,14 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
 
 
-def session_der(ref: pd.DataFrame, hyp: pd.DataFrame, collar: float) -> tuple[float, float, float, float]:
-    """(scored reference time, missed, false alarm, confusion) of one session; times within the collar of a reference boundary don't count."""
-    edges = [ref["start"], ref["end"], hyp["start"], hyp["end"]]
-    marks = np.concatenate([ref["start"], ref["end"]]) if len(ref) else np.zeros(0)
+def session_der(ref: tuple, hyp: tuple, collar: float) -> tuple[float, float, float, float]:
+    """(scored reference time, missed, false alarm, confusion) of one session's (speakers, starts, ends); times within the collar of a
+    reference boundary don't count, nor do segments without speaker."""
+    edges = [ref[1], ref[2], hyp[1], hyp[2]]
+    marks = np.concatenate([ref[1], ref[2]])
     if collar:
         edges += [marks - collar, marks + collar]
-    t = np.unique(np.concatenate([np.asarray(e, float) for e in edges]))
+    t = np.unique(np.concatenate(edges))
     if len(t) < 2:
         return 0.0, 0.0, 0.0, 0.0
     mid, width = (t[1:] + t[:-1]) / 2, np.diff(t)
@@ -77,16 +80,20 @@ def session_der(ref: pd.DataFrame, hyp: pd.DataFrame, collar: float) -> tuple[fl
         near = np.minimum(np.abs(mid - marks[np.minimum(at, len(marks) - 1)]), np.abs(mid - marks[np.maximum(at - 1, 0)]))
         width = np.where(near < collar, 0.0, width)
 
-    def active(df: pd.DataFrame) -> np.ndarray:
-        rows = []
-        for _, s in df.groupby("speaker", sort=True):
+    def active(speakers: list, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        of: dict = {}
+        for i, s in enumerate(speakers):
+            if s is not None:
+                of.setdefault(s, []).append(i)
+        rows = np.zeros((len(of), len(mid)), bool)
+        for row, s in zip(rows, sorted(of)):
             on = np.zeros(len(mid) + 1)
-            np.add.at(on, np.searchsorted(mid, s["start"]), 1)
-            np.add.at(on, np.searchsorted(mid, s["end"]), -1)
-            rows.append(np.cumsum(on)[:-1] > 0)
-        return np.array(rows) if rows else np.zeros((0, len(mid)), bool)
+            np.add.at(on, np.searchsorted(mid, start[of[s]]), 1)
+            np.add.at(on, np.searchsorted(mid, end[of[s]]), -1)
+            row[:] = np.cumsum(on)[:-1] > 0
+        return rows
 
-    a, b = active(ref), active(hyp)
+    a, b = active(*ref), active(*hyp)
     nr, nh = a.sum(0), b.sum(0)
     shared = (a * width) @ b.T.astype(float)
     right = np.zeros(len(mid))
@@ -95,18 +102,60 @@ def session_der(ref: pd.DataFrame, hyp: pd.DataFrame, collar: float) -> tuple[fl
     return tuple(float(x @ width) for x in (nr, np.maximum(nr - nh, 0), np.maximum(nh - nr, 0), np.minimum(nr, nh) - right))
 
 
+def _both(ref: DataFrame, hyp: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of both sides with `_hyp`, a session's in one partition."""
+    spark = ref.sparkSession
+    ship(spark)
+    sides = [df.select("session", F.lit(h).alias("_hyp"), *columns) for df, h in ((ref, False), (hyp, True))]
+    return sides[0].unionByName(sides[1]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "session")
+
+
+def _by_session(rows: DataFrame, score, schema: str) -> DataFrame:
+    """(session, score(columns of ref, columns of hyp)) of each session that ref has. A partition's sessions pass one after another in
+    Arrow batches: a call a session by Spark would cost more than the work in it. rows: session, _hyp, then what score reads."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def scored(batches):
+        def done():
+            # the columns of either side, joined where they came in several batches
+            sides = [[sum((x[i] for x in got), []) if isinstance(got[0][i], list) else np.concatenate([x[i] for x in got]) for i in range(len(got[0]))] if got else None for got in held]
+            if sides[0] is not None:
+                out.append((now, *score(sides[0], sides[1])))
+
+        held, now, begun = ([], []), None, False
+        for batch in batches:
+            session, hyp = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            columns = [c.to_pylist() if not pa.types.is_floating(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]
+            out: list[tuple] = []
+            lo = 0
+            for i in range(1, len(session) + 1):
+                if i == len(session) or session[i] != session[lo] or hyp[i] != hyp[lo]:
+                    if not begun or session[lo] != now:
+                        done()
+                        held, now, begun = ([], []), session[lo], True
+                    held[hyp[lo]].append([c[lo:i] for c in columns])
+                    lo = i
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), kinds)], schema=kinds)
+        out = []
+        done()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), kinds)], schema=kinds)
+
+    return rows.sortWithinPartitions("session", "_hyp").mapInArrow(scored, schema)
+
+
 def der(ref: DataFrame, hyp: DataFrame, collar: float = 0.25) -> DataFrame:
     """(session, scored, missed, false_alarm, confusion, der) of every session of ref; hypotheses of other sessions don't count."""
-    ship(ref.sparkSession)
-    cols = ["session", "speaker", "start", "end"]
+    none = ([], np.zeros(0), np.zeros(0))
 
-    def one(key, r, h):
-        if not len(r):
-            return pd.DataFrame(columns=["session", "scored", "missed", "false_alarm", "confusion", "der"])
-        total, miss, fa, conf = session_der(r, h, collar)
-        return pd.DataFrame([[key[0], total, miss, fa, conf, (miss + fa + conf) / total if total else 0.0]], columns=["session", "scored", "missed", "false_alarm", "confusion", "der"])
+    def one(r, h):
+        total, miss, fa, conf = session_der(r, h or none, collar)
+        return total, miss, fa, conf, (miss + fa + conf) / total if total else 0.0
 
-    return ref.select(*cols).groupBy("session").cogroup(hyp.select(*cols).groupBy("session")).applyInPandas(one, "session string, scored double, missed double, false_alarm double, confusion double, der double")
+    rows = _both(ref, hyp, ["speaker", "start", "end"])
+    rows = rows.select(F.col("session").cast("string").alias("session"), "_hyp", "speaker", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    return _by_session(rows, one, "session string, scored double, missed double, false_alarm double, confusion double, der double")
 
 
 def session_mean(rows: DataFrame, score: str = "der") -> DataFrame:
@@ -119,24 +168,19 @@ def cpwer(ref: DataFrame, hyp: DataFrame, tokenise=tokens.words) -> DataFrame:
 
     A speaker without partner counts as all deletions or all insertions.
     """
-    ship(ref.sparkSession)
-
-    def texts(df: DataFrame) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(F.struct("start", F.coalesce("words", F.lit("")).alias("words"))))
-        g = df.groupBy("session", "speaker").agg(F.array_join(F.transform(ordered, lambda x: x["words"]), " ").alias("t"))
-        return g.select("session", "speaker", tokenise(F.col("t")).alias("tokens"))
+    ordered = F.array_sort(F.collect_list(F.struct("start", F.coalesce("words", F.lit("")).alias("words"))))
+    g = _both(ref, hyp, ["speaker", "start", "words"]).groupBy("session", "_hyp", "speaker").agg(F.array_join(F.transform(ordered, lambda x: x["words"]), " ").alias("t"))
 
-    def one(key, r, h):
-        a, b = [list(t) for t in r["tokens"]], [list(t) for t in h["tokens"]]
-        if not a:
-            return pd.DataFrame(columns=["session", "errors", "length", "cpwer"])
+    def one(r, h):
+        a, b = r[0], h[0] if h else []
         n = max(len(a), len(b))
         a, b = a + [[]] * (n - len(a)), b + [[]] * (n - len(b))
         cost = np.array([[distance(x, y) for y in b] for x in a], float)
         errors, length = int(sum(cost[i, j] for i, j in assignment(cost))), sum(map(len, a))
-        return pd.DataFrame([[key[0], errors, length, errors / length if length else 0.0]], columns=["session", "errors", "length", "cpwer"])
+        return errors, length, errors / length if length else 0.0
 
-    return texts(ref).groupBy("session").cogroup(texts(hyp).groupBy("session")).applyInPandas(one, "session string, errors long, length long, cpwer double")
+    rows = g.select(F.col("session").cast("string").alias("session"), "_hyp", tokenise(F.col("t")).alias("tokens"))
+    return _by_session(rows, one, "session string, errors long, length long, cpwer double")
 
 
 def combined(rows: DataFrame) -> DataFrame:

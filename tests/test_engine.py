@@ -228,3 +228,23 @@ def test_running_rate_over_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.score for r in spark.table("rates").collect()) == [0.25, 0.75]
+
+
+def test_sessions_pass_in_batches_however_many(spark):
+    """No call of Python a session, and the same errors where a session comes in several Arrow batches."""
+    from tarnsight.operators import diarization
+
+    made = [(f"s{i % 7}", "ab"[k % 2], float(3 * k), 3.0 * k + 2, f"w{k} v{i}") for i in range(7) for k in range(i + 1)]
+    ref = spark.createDataFrame(made + [("alone", "a", 0.0, 2.0, "one two")], "session string, speaker string, start double, end double, words string")
+    hyp = spark.createDataFrame([(s, {"a": "y", "b": "x"}[w], a + 0.5, b + 0.5, t + " z") for s, w, a, b, t in made] + [("extra", "a", 0.0, 1.0, "x")], ref.schema)
+    bound = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        d, c = diarization.der(ref, hyp, 0.0), diarization.cpwer(ref, hyp)
+        assert not any("CoGroup" in x._jdf.queryExecution().executedPlan().toString() for x in (d, c))
+        got = {r.session: (r.scored, r.missed, r.false_alarm, r.confusion) for r in d.collect()}
+        words = {r.session: (r.errors, r.length) for r in c.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", bound)
+    assert got == {f"s{i}": (2.0 * (i + 1), 0.5 * (i + 1), 0.5 * (i + 1), 0.0) for i in range(7)} | {"alone": (2.0, 2.0, 0.0, 0.0)}
+    assert words == {f"s{i}": (i + 1, 2 * (i + 1)) for i in range(7)} | {"alone": (2, 2)}
