@@ -67,3 +67,19 @@ def test_turns_have_the_upper_case_and_the_words_of_their_sql(spark, tmp_path):
         want = con.execute(catalog.ORACLES[name])
         order = [c[0] for c in want.description]
         assert [tuple(r[c] for c in order) for r in got.collect()] == want.fetchall(), name
+
+
+def test_cosine_pairs_in_blocks(spark, tmp_path, monkeypatch):
+    """Blocks of 7 vectors in pieces of a few rows, a missing vector: all pairs of SQL, by matrix products and no join of vectors."""
+    from tarnsight.operators import predicates
+
+    monkeypatch.setattr(predicates, "BLOCK", 7)
+    monkeypatch.setattr(predicates, "PIECE", 20)
+    con = duckdb.connect()
+    con.execute(f"copy (select case when vec_id % 31 = 0 then null else embedding end as embedding, vec_id, label from read_parquet('{SF}/embeddings.parquet')) to '{tmp_path}/embeddings.parquet'")
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet')")
+    got = catalog.QUERIES["embedding_cosine_pairs"](spark, str(tmp_path))
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    want = con.execute(catalog.ORACLES["embedding_cosine_pairs"]).fetchall()
+    key = lambda r: r[:2]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key) and any(r[2] is None for r in want)
