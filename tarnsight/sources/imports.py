@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 import pandas as pd
@@ -17,10 +16,28 @@ from .keytext import lines
 NESTED = "struct<aid:string,path:string,segments:array<struct<sid:string,begin_time:double,end_time:double,text:string,subsets:array<string>>>>"
 
 
+#: What follows an object of an array; strings and brackets of JSON.
+_AFTER = re.compile(r"\s*(,\s*\{\s*|\][\s\S]*)")
+_MARKS = re.compile(r'"[^"\\]*(?:\\[\s\S][^"\\]*)*"|[{}\[\]]')
+
+
+def object_end(text: str) -> int:
+    """Where the object ends that text continues from behind its opening brace. Nothing is decoded, so memory doesn't follow its size."""
+    depth = 1
+    for m in _MARKS.finditer(text):
+        c = text[m.start()]
+        if c != '"':
+            depth += 1 if c in "{[" else -1
+            if not depth:
+                return m.end()
+    raise ValueError(f"an object doesn't end: {text[-80:]!r}")
+
+
 def array_elements(spark: SparkSession, path: str, first_key: str) -> DataFrame:
     """(value) the objects of one huge JSON array as texts, read in parallel: the file is split wherever first_key stands.
 
-    Every object must begin with that key, and none may hold it again inside; a file that is otherwise made raises.
+    Every object must begin with that key, and none may hold it again inside; a file that is otherwise made raises. What stands within an
+    object's brackets is left to those who read it.
     """
     ship(spark)
 
@@ -29,11 +46,10 @@ def array_elements(spark: SparkSession, path: str, first_key: str) -> DataFrame:
         def one(chunk: str) -> str | None:
             if not chunk.lstrip().startswith(":"):
                 return None  # what stands before the first object
-            text = f'{{"{first_key}"{chunk}'
-            _, end = json.JSONDecoder().raw_decode(text)
-            if not re.fullmatch(r"\s*(,\s*\{\s*|\][\s\S]*)", text[end:]):
-                raise ValueError(f"an object doesn't begin with {first_key}: {text[end : end + 80]!r}")
-            return text[:end]
+            end = object_end(chunk)
+            if not _AFTER.fullmatch(chunk, end):
+                raise ValueError(f"an object doesn't begin with {first_key}: {chunk[end : end + 80]!r}")
+            return f'{{"{first_key}"{chunk[:end]}'
 
         return chunks.map(one)
 

@@ -50,3 +50,24 @@ def test_predicates(spark):
     assert s == [[1.0, 2.0], [3.0, 4.0], [5.0]]
     e = spark.createDataFrame([("a", [1.0, 3.0]), ("a", [3.0, 5.0])], "k string, embedding array<double>")
     assert predicates.mean_vector(e, ["k"]).first()["mean"] == [2.0, 4.0]
+
+
+def test_an_objects_end_is_found_without_its_values():
+    """Memory is a few times less than the values of the object would take."""
+    import json
+    import tracemalloc
+
+    from tarnsight.sources.imports import object_end
+
+    one = {"aid": "x", "s": [{"k": i, "t": 'a "quoted" } ] \\ text', "n": [[], {}]} for i in range(20000)]}
+    text = json.dumps(one)[len('{"aid"') :]
+    for after in (", {", "]}", "\n]"):
+        assert object_end(text + after) == len(text)
+    whole = text + ", {"
+    tracemalloc.start()
+    object_end(whole)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < len(text) / 10
+    with pytest.raises(ValueError, match="doesn't end"):
+        object_end(text[:-1])
