@@ -45,6 +45,20 @@ def graphemes(x: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"\X"), F.lit(0)), lambda t: ~t.rlike(r"^(?U)\s+$"))
 
 
+def code_switch_counts(x: Column) -> tuple[Column, Column]:
+    """How many Han characters and how many other tokens `code_switch` gives, without making them."""
+    t = F.coalesce(x, F.lit(""))
+    return F.length(F.regexp_replace(t, rf"[^{HAN}]+", "")), F.size(F.regexp_extract_all(t, F.lit(rf"[\p{{L}}\p{{N}}'&&[^{HAN}]]+"), F.lit(0)))
+
+
+def num_graphemes(x: Column) -> Column:
+    """How many `graphemes` there are: where no character joins with others (all are below U+0300), what isn't blank."""
+    t = F.coalesce(x, F.lit(""))
+    # a run of plain letters gives as many clusters as characters; general punctuation but for its joiners and marks stands alone, too
+    plain = ~t.rlike(r"[^\x00-\x{2FF}\x{2010}-\x{2027}]")
+    return F.when(plain, F.length(F.regexp_replace(t, r"(?U)\s+", ""))).otherwise(F.size(graphemes(x)))
+
+
 def bleu_13a(x: Column) -> Column:
     """The mteval-v13a tokens of the published definition."""
     t = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"<skipped>|-\n", ""), "\n", " "), F.lit(" "))

@@ -150,3 +150,14 @@ def test_bit_parallel_alignment_of_long_lists():
         assert align.align_counts(r, h) == want and align.distance(r, h) == want[0]
         ops = align.align_ops(r, h)
         assert [x for _, x, _ in ops if x is not None] == r and [x for *_, x in ops if x is not None] == h
+
+
+def test_counts_without_tokens_are_those_of_the_tokenisers(spark):
+    from tarnsight.functions import tokens
+
+    texts = ["plain words, don't", "caf\u00e9 e\u0301 x", "\r\n a\r\nb\r c", "\u4e2d\u6587ab 12\u5b57", "\U0001F468\u200d\U0001F469 ok", "\u2013 \u201ea\u201c \u2026\u2019", "\u00a0\u2003x\u0085", "\u00a9\u00ad \u200d", "", None, "\U0001F1E9\U0001F1EA!", "\x00\x1c a\x7f"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    han, other = tokens.code_switch_counts(F.col("t"))
+    mixed = tokens.code_switch(F.col("t"))
+    for r in df.select("t", han.alias("h"), other.alias("o"), tokens.num_graphemes(F.col("t")).alias("g"), F.size(tokens.han_tokens(mixed)).alias("h2"), F.size(tokens.other_tokens(mixed)).alias("o2"), F.size(mixed).alias("m2"), F.size(tokens.graphemes(F.col("t"))).alias("g2")).collect():
+        assert (r.h, r.o, r.h + r.o, r.g) == (r.h2, r.o2, r.m2, r.g2), r.t
